@@ -6,13 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .near_dedup import near_duplicates
+from .packing import pack_documents
 from .staging import table
+from .token_files import token_digests
 
 
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup,)}
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(table(spark, sf_dir, "documents"), end_id=1)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), window=4096, end_id=2).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_token_files, op5_packing)}
 
 ORACLES: dict[str, str] = {}
