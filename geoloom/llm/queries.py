@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
+from .decontaminate import contamination
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .staging import table
@@ -25,6 +27,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_token_files, op5_packing)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
-ORACLES: dict[str, str] = {}
+
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_token_files, op5_packing, op9_decontamination)}
+
+ORACLES: dict[str, str] = {
+    "op2_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op9_decontamination": oracles.CONTAMINATION,
+}
