@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .decontaminate import contamination
+from .language import identify_language
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .sharding import shard_documents
 from .staging import table
 from .token_files import token_digests
 
@@ -27,11 +29,19 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(table(spark, sf_dir, "documents"), shards=40)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_token_files, op5_packing, op9_decontamination)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_token_files, op5_packing, op6_sharding, op9_decontamination, op10_language_id)}
 
 ORACLES: dict[str, str] = {
     "op2_minhash_near_dedup": oracles.NEAR_DUPLICATES,
