@@ -52,3 +52,39 @@ SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, CAST(coalesce
        coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= coalesce(len(d.w), 0) AS contaminated
 FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 """
+
+PREFERENCES = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), p AS (
+  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, min(conv_id) AS chosen_id, max(conv_id) AS rejected_id
+  FROM (SELECT DISTINCT conv_id FROM t) GROUP BY 1 HAVING min(conv_id) < max(conv_id)
+), n AS (
+  SELECT conv_id, max(k) AS n FROM t GROUP BY conv_id
+), d AS (
+  SELECT p.pair_id, min(c.k) - 1 AS k FROM p JOIN t c ON c.conv_id = p.chosen_id
+  JOIN t r ON r.conv_id = p.rejected_id AND r.k = c.k WHERE c.role <> r.role OR c.text <> r.text GROUP BY p.pair_id
+), q AS (
+  SELECT p.*, coalesce(d.k, least(a.n, b.n)) AS m FROM p JOIN n a ON a.conv_id = p.chosen_id
+  JOIN n b ON b.conv_id = p.rejected_id LEFT JOIN d ON d.pair_id = p.pair_id
+), s AS (
+  SELECT q.pair_id, t.conv_id = q.chosen_id AS chosen, t.k <= q.m AS prompt, t.k, t.role,
+         '<|' || t.role || '|>' || chr(10) || t.text || '<|end|>' || chr(10) AS x, length(t.text) + 8 AS loss
+  FROM q JOIN t ON t.conv_id = q.chosen_id OR t.conv_id = q.rejected_id
+), g AS (
+  SELECT pair_id,
+    string_agg(x, '' ORDER BY k) FILTER (WHERE prompt AND chosen) AS prompt,
+    string_agg(x, '' ORDER BY k) FILTER (WHERE NOT prompt AND chosen) AS chosen,
+    string_agg(x, '' ORDER BY k) FILTER (WHERE NOT prompt AND NOT chosen) AS rejected,
+    coalesce(sum(loss) FILTER (WHERE NOT prompt AND chosen AND role = 'assistant'), 0) AS chosen_loss_chars,
+    coalesce(sum(loss) FILTER (WHERE NOT prompt AND NOT chosen AND role = 'assistant'), 0) AS rejected_loss_chars
+  FROM s GROUP BY pair_id
+)
+SELECT q.pair_id, q.chosen_id, q.rejected_id, CAST(q.m AS BIGINT) AS prompt_turns,
+  sha256(coalesce(g.prompt, '')) AS prompt_sha256, sha256(coalesce(g.chosen, '')) AS chosen_sha256,
+  sha256(coalesce(g.rejected, '')) AS rejected_sha256,
+  CAST(chosen_loss_chars AS BIGINT) AS chosen_loss_chars, CAST(rejected_loss_chars AS BIGINT) AS rejected_loss_chars
+FROM q JOIN g ON g.pair_id = q.pair_id
+"""

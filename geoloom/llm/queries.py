@@ -9,16 +9,27 @@ from . import oracles
 from .decontaminate import contamination
 from .language import identify_language
 from .near_dedup import near_duplicates
+from .nearest import nearest_neighbours
 from .packing import pack_documents
+from .preferences import adjacent_pairs, format_preferences
+from .quality import score_quality
 from .sharding import shard_documents
 from .staging import table
 from .token_files import token_digests
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(table(spark, sf_dir, "documents"), end_id=1)
 
@@ -33,6 +44,18 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each pair the counts and digests of prompt and completions, and the loss characters."""
+    turns = table(spark, sf_dir, "conversations")
+    pairs = format_preferences(turns, adjacent_pairs(turns))
+    loss = lambda c: F.aggregate(c, F.lit(0), lambda n, s: n + s["end"] - s["begin"]).cast("long")
+    return pairs.select(
+        "pair_id", "chosen_id", "rejected_id", F.col("prompt_turns").cast("long").alias("prompt_turns"),
+        *[F.sha2(c, 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")],
+        loss("chosen_loss").alias("chosen_loss_chars"), loss("rejected_loss").alias("rejected_loss_chars"),
+    )
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -41,9 +64,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_near_dedup, op4_token_files, op5_packing, op6_sharding, op9_decontamination, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_minhash_near_dedup,
+        op3_multi_index,
+        op4_token_files,
+        op5_packing,
+        op6_sharding,
+        op7_preferences,
+        op9_decontamination,
+        op10_language_id,
+    )
+}
 
 ORACLES: dict[str, str] = {
     "op2_minhash_near_dedup": oracles.NEAR_DUPLICATES,
+    "op7_preferences": oracles.PREFERENCES,
     "op9_decontamination": oracles.CONTAMINATION,
 }
