@@ -96,7 +96,8 @@ def learn_profiles(documents: DataFrame, top: int = PROFILE, sample: int = SAMPL
     first = Window.partitionBy("lang").orderBy("h")
     last = rows.select("lang", "h").withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample)
     last = last.groupBy("lang").agg(F.max("h").alias("last"))
-    few = rows.join(last, "lang").where("h <= last").select("lang", "text")
+    # one row per language
+    few = rows.join(F.broadcast(last), "lang").where("h <= last").select("lang", "text")
     counts = few.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     lists: dict[str, list[int]] = {}

@@ -65,8 +65,8 @@ class Condition:
     def holds(self, x: np.ndarray) -> np.ndarray:
         return (x[:, self.statistic] > self.bound) == self.above
 
-    def column(self) -> Column:
-        c = F.col(STATISTICS[self.statistic])
+    def column(self, of: str = "") -> Column:
+        c = F.col(of + STATISTICS[self.statistic])
         return c > self.bound if self.above else c <= self.bound
 
 
@@ -135,11 +135,11 @@ class Ensemble:
     weights: list[float]
     intercept: float
 
-    def column(self) -> Column:
-        """The score, over columns named by STATISTICS."""
+    def column(self, of: str = "") -> Column:
+        """The score, over columns (or, with ``of``, fields of a struct) named by STATISTICS."""
         total = F.lit(self.intercept)
         for rule, weight in zip(self.rules, self.weights):
-            total = total + F.when(reduce(lambda a, b: a & b, [c.column() for c in rule]), F.lit(weight)).otherwise(0.0)
+            total = total + F.when(reduce(lambda a, b: a & b, [c.column(of) for c in rule]), F.lit(weight)).otherwise(0.0)
         return 1 / (1 + F.exp(-total))
 
 
@@ -177,3 +177,10 @@ def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.
     measured = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), *statistics(F.col("text")))
     scored = measured.select("doc_id", "held_out", model.column().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``documents``, with all their columns, whose score reaches the threshold."""
+    model = fit(documents, labels, sample)
+    measured = documents.select("*", F.struct(*statistics(F.col("text"))).alias("_statistics"))
+    return measured.where(model.column("_statistics.") >= threshold).select(*documents.columns)

@@ -11,6 +11,7 @@ from .language import identify_language
 from .near_dedup import near_duplicates
 from .nearest import nearest_neighbours
 from .packing import pack_documents
+from .passages import repeated_passages
 from .preferences import adjacent_pairs, format_preferences
 from .quality import score_quality
 from .sharding import shard_documents
@@ -56,6 +57,11 @@ def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = repeated_passages(table(spark, sf_dir, "documents"), words=50, percent=80)
+    return spans.select("doc_id", "match_id", F.col("begin").alias("begin_word"), F.col("end").alias("end_word"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -74,6 +80,7 @@ QUERIES = {
         op5_packing,
         op6_sharding,
         op7_preferences,
+        op8_compact_windows,
         op9_decontamination,
         op10_language_id,
     )
