@@ -8,9 +8,8 @@ within that distance or share a key anyway with probability 1 - 1e-6 and more; t
 itself is then computed on the full shingle sets.
 
 Skew: equal sets are one node from the start.  Pairs inside a bucket are not all made: first
-every node is confirmed against one representative of its buckets, and only nodes that end in
-different components meet again, so a large group of near copies costs links in proportion to
-its size.
+every node is confirmed against one representative of its buckets; nodes of its buckets that
+end in different components meet again only over a shingle that similar sets must share.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -88,13 +87,29 @@ def _distance(left: str, right: str):
     return reduce(lambda x, y: x + y, one)
 
 
+class Sets(dict):
+    """Shingle sets by node, for as many texts as fit in a bounded number of shingles."""
+
+    def __init__(self, k: int, most: int = 4_000_000):
+        self.k, self.most, self.held, self.known = k, most, 0, WordHashes()
+
+    def of(self, node: int, text: bytes) -> np.ndarray:
+        if (s := self.get(node)) is None:
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
+            self[node] = s = np.unique(shingles(self.known.of(split_words(text)), self.k))
+            self.held += len(s)
+        return s
+
+
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        sets = Sets(k)
         for batch in batches:
             keep = []
-            for x, y in zip(texts(batch, "text_a"), texts(batch, "text_b")):
-                s, t = (np.unique(shingles(known.of(split_words(v)), k)) for v in (x, y))
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch, "text_a"), texts(batch, "text_b")):
+                s, t = sets.of(a, x), sets.of(b, y)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -168,10 +183,48 @@ def _link(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
         "key", "node", F.coalesce("component", "node").alias("component")
     )
     apart = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 != c1").select("key")
-    open_ = stage(placed.join(apart, "key"), "open")
-    x, y = open_.toDF("key", "a", "ca"), open_.toDF("key", "b", "cb")
-    more = confirmed(x.join(y, "key").where("ca < cb").select("a", "b").distinct())
+    open_ = stage(placed.join(apart, "key").select("node", "component").distinct(), "open")
+    more = confirmed(_prefix_pairs(open_, held, k, percent))
     if not more.isEmpty():
         components = connected_components(links.unionAll(more))
     drop(open_, more, links)
     return components
+
+
+def _prefix_pairs(open_: DataFrame, held: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can be similar enough, among ``open_(node, component)``.
+
+    Two exact bounds, which lose no pair.  Only shingles that occur in two components can be
+    shared; with these ordered from rare to frequent behind a set's other shingles, similar sets
+    of size n share one of their first n - ceil(percent * n / 100) + 1.  And from the first one
+    shared on, both sets must hold as many more as the similarity needs.  Texts changed in many
+    places have shingles of their own in front, so they make no pairs within a large group.
+    """
+    sets = held.join(open_.withColumnRenamed("node", "doc_id"), "doc_id").mapInArrow(_sets(k), "node long, component long, n long, shingles array<long>")
+    each = stage(sets.select("node", "component", "n", F.explode("shingles").alias("shingle")), "shingles")
+    frequency = each.groupBy("shingle").agg(F.count("*").alias("f"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    common = each.join(frequency.where("c0 != c1").select("shingle", "f"), "shingle")
+    by_node = Window.partitionBy("node")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    first = (
+        common.withColumns({"m": F.count("*").over(by_node), "rank": F.row_number().over(by_node.orderBy("f", "shingle"))})
+        .where(F.col("rank") <= prefix - F.col("n") + F.col("m"))
+        .select("shingle", "node", "component", "n", (F.col("m") - F.col("rank") + 1).alias("left"))
+    )
+    x, y = first.toDF("shingle", "a", "ca", "na", "ma"), first.toDF("shingle", "b", "cb", "nb", "mb")
+    enough = (100 + percent) * F.least("ma", "mb") >= percent * (F.col("na") + F.col("nb"))
+    pairs = x.join(y, "shingle").where((F.col("ca") < F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & enough)
+    return pairs.select("a", "b").distinct()
+
+
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            sets = [np.unique(shingles(known.of(split_words(t)), k)) for t in texts(batch)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("component"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))],
+                names=["node", "component", "n", "shingles"],
+            )
+
+    return run
