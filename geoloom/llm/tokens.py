@@ -1,7 +1,7 @@
 """Token ids of whole texts, by the tokenizers library, inside tasks.
 
 A text is cut at ASCII white space, where ``word_bpe_49k`` also ends every token, and each
-distinct lower-cased word is encoded by the library once per task and remembered.
+distinct lower-cased word is encoded by the library once per worker process and remembered.
 """
 
 from __future__ import annotations
@@ -14,8 +14,8 @@ import pyarrow as pa
 
 from .words import texts
 
-#: Words that a task remembers at most; past it, it starts anew.
-MAX_WORDS = 500_000
+#: Words that a process remembers at most; past it, it starts anew.
+MAX_WORDS = 1_000_000
 #: A special token of the vocabulary, used between words that are encoded in one call.
 BETWEEN, MARK = "<|endoftext|>", b"<|"
 
@@ -36,6 +36,9 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.between = self.tokenizer.token_to_id(BETWEEN)
+        names = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(names.values()) + 1, bool)
+        self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
     def _whole(self, text: bytes) -> bytes:
@@ -43,30 +46,72 @@ class WordTokens:
         return np.array(ids, "<u4").tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        joined = [BETWEEN.join(w.decode("utf-8", "replace") for w in words[i : i + 2000]) for i in range(0, len(words), 2000)]
-        at = 0
-        for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False):
-            ids = np.array(e.ids, "<u4")
-            raw, last = ids.tobytes(), 0
-            for end in [*np.flatnonzero(ids == self.between).tolist(), len(ids)]:
-                self.known[words[at]] = raw[4 * last : 4 * end]
-                at, last = at + 1, end + 1
+        """Encode words that are new: those of letters only are one pre-token each, so the ends of
+        words mark them; the others stand between special tokens.  A word with one comma or full
+        stop behind a letter is that word and that mark."""
+        known, plain, other, marked = self.known, set(), [], []
+        for w in words:
+            if w[-1] in b".," and w[:-1].decode("utf-8", "replace").lower()[-1:].isalpha():
+                marked.append(w)
+                w = w[:-1]
+                if w in known:
+                    continue
+            (plain.add if w.decode("utf-8", "replace").isalpha() else other.append)(w)
+        plain = list(plain)
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
+            ids, raw = self._ids(some, " ")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some):
+                self._keep(some, raw, np.concatenate([[0], ends[:-1]]), ends)
+            else:  # a letter that becomes more than letters in lower case
+                other += some
+        other += [b".", b","]
+        for i in range(0, len(other), 2000):
+            some = other[i : i + 2000]
+            ids, raw = self._ids(some, BETWEEN)
+            cuts = np.flatnonzero(ids == self.between)
+            self._keep(some, raw, np.concatenate([[0], cuts + 1]), np.append(cuts, len(ids)))
+        for w in marked:
+            known[w] = known[w[:-1]] + known[w[-1:]]
+
+    def _ids(self, words: list[bytes], between: str) -> tuple[np.ndarray, bytes]:
+        text = between.join([w.decode("utf-8", "replace") for w in words])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        return ids, ids.tobytes()
+
+    def _keep(self, words: list[bytes], raw: bytes, starts: np.ndarray, ends: np.ndarray) -> None:
+        for w, a, b in zip(words, (4 * starts).tolist(), (4 * ends).tolist(), strict=True):
+            self.known[w] = raw[a:b]
 
     def encode(self, docs: list[bytes]) -> list[bytes]:
         # a text that holds a special token's string is encoded as a whole: there, case and cuts matter
         split = [None if MARK in d else d.lower().split() for d in docs]
         if len(self.known) > MAX_WORDS:
             self.known.clear()
-        new = set().union(*(s for s in split if s)) - self.known.keys()
-        if new:
-            self._learn(list(new))
-        ids = self.known.__getitem__
-        return [self._whole(d) if s is None else b"".join(map(ids, s)) for d, s in zip(docs, split)]
+        got = [[] if s is None else list(map(self.known.get, s)) for s in split]
+        holes = [(s, g, [i for i, ids in enumerate(g) if ids is None]) for s, g in zip(split, got) if None in g]
+        if holes:
+            self._learn(list({s[i] for s, _, at in holes for i in at}))
+            for s, g, at in holes:
+                for i in at:
+                    g[i] = self.known[s[i]]
+        return [self._whole(d) if s is None else b"".join(g) for d, s, g in zip(docs, split, got)]
+
+
+_loaded: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The tokenizer of this worker process, with the words it has met in earlier tasks."""
+    if path not in _loaded:
+        _loaded[path] = WordTokens(path)
+    return _loaded[path]
 
 
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, at_once: int = 200) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each batch with the ids of its texts, each with ``end_id`` behind; null texts count as empty."""
-    tokens, end = WordTokens(path), int(end_id).to_bytes(4, "little")
+    tokens, end = word_tokens(path), int(end_id).to_bytes(4, "little")
     for batch in batches:
         for i in range(0, batch.num_rows, at_once):
             part = batch.slice(i, at_once)
