@@ -14,8 +14,8 @@ import pyarrow as pa
 
 from .words import texts
 
-#: Words that a process remembers at most; past it, it starts anew.
-MAX_WORDS = 1_000_000
+#: Words that a process remembers as recent; past it, these become the older ones and the older go.
+MAX_WORDS = 600_000
 #: A special token of the vocabulary, used between words that are encoded in one call.
 BETWEEN, MARK = "<|endoftext|>", b"<|"
 
@@ -40,6 +40,7 @@ class WordTokens:
         self.ends_word = np.zeros(max(names.values()) + 1, bool)
         self.ends_word[[i for name, i in names.items() if name.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _whole(self, text: bytes) -> bytes:
         ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
@@ -88,11 +89,18 @@ class WordTokens:
         # a text that holds a special token's string is encoded as a whole: there, case and cuts matter
         split = [None if MARK in d else d.lower().split() for d in docs]
         if len(self.known) > MAX_WORDS:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         got = [[] if s is None else list(map(self.known.get, s)) for s in split]
         holes = [(s, g, [i for i, ids in enumerate(g) if ids is None]) for s, g in zip(split, got) if None in g]
         if holes:
-            self._learn(list({s[i] for s, _, at in holes for i in at}))
+            new = []
+            for w in {s[i] for s, _, at in holes for i in at}:
+                if (ids := self.older.get(w)) is None:
+                    new.append(w)
+                else:
+                    self.known[w] = ids
+            if new:
+                self._learn(new)
             for s, g, at in holes:
                 for i in at:
                     g[i] = self.known[s[i]]
