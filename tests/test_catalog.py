@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from geoloom.plans.catalog import ORACLES, QUERIES
@@ -14,7 +15,11 @@ DATA = "/root/testdata/sf0.001"
 def rows(df):
     """Rows as sorted tuples of text, columns by name, numbers rounded."""
     cols = sorted(df.columns)
-    text = lambda x: "null" if x is None or x != x else repr(round(float(x), 6)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    def text(x):
+        if x is None or x is pd.NA or x is pd.NaT or x != x:
+            return "null"
+        return repr(round(float(x), 6)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+
     return cols, sorted(tuple(text(x) for x in r) for r in df[cols].astype(object).itertuples(index=False))
 
 
