@@ -193,31 +193,84 @@ def natural_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     if n < 3:
         return np.interp(at, x, y)
     h, m = np.diff(x), np.zeros(n)
-    a = np.diag(2 * (h[:-1] + h[1:])) + np.diag(h[1:-1], 1) + np.diag(h[1:-1], -1)
-    m[1:-1] = np.linalg.solve(a, 6 * np.diff(np.diff(y) / h))
+    side, middle, right = h[1:-1].tolist(), (2 * (h[:-1] + h[1:])).tolist(), (6 * np.diff(np.diff(y) / h)).tolist()
+    for i, b in enumerate(side):  # a tridiagonal system: down, then up
+        f = b / middle[i]
+        middle[i + 1] -= f * b
+        right[i + 1] -= f * right[i]
+    for i in range(n - 3, -1, -1):
+        m[i + 1] = (right[i] - (side[i] * m[i + 2] if i < n - 3 else 0.0)) / middle[i]
     k = np.clip(np.searchsorted(x, at) - 1, 0, n - 2)
     t, u = at - x[k], x[k + 1] - at
     return (m[k] * u**3 + m[k + 1] * t**3) / (6 * h[k]) + (y[k] / h[k] - m[k] * h[k] / 6) * u + (y[k + 1] / h[k] - m[k + 1] * h[k] / 6) * t
 
 
+#: Knots of a block; knots on either side that its spline is solved with: a knot's influence at least
+#: halves from one to the next.  Resampled points of a block.
+KNOTS, HALO, POINTS = 2048, 64, 4096
+
+
 def spline_average(series: DataFrame, by: str, dx: float, window: float, x: str = "x", y: str = "y") -> DataFrame:
     """Per series: an interpolating spline, resampled at about dx, its moving average over about ``window``.
 
-    Rows (by, x, y) at the trailing ends of the windows.  A series is one task's group: bounded by
-    the series, whose points of one x are averaged first.
+    Rows (by, x, y) at the trailing ends of the windows.  Points of one x are averaged first; points
+    without x or y do not count.  Series are worked on in blocks of knots, then of resampled points.
     """
-    points = series.groupBy(by, x).agg(F.avg(y).alias(y))
+    points = series.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(x).cast("double").alias("_x")).agg(F.avg(y).cast("double").alias("_y"))
     kind = series.schema[by].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(x)
-        xs, ys = pdf[x].to_numpy(float), pdf[y].to_numpy(float)
-        n = int(round((xs[-1] - xs[0]) / dx)) if len(xs) > 1 else 0
-        if n < 2:
-            return pd.DataFrame({by: pdf[by][:0], x: xs[:0], y: ys[:0]})
-        at = np.linspace(xs[0], xs[-1], n)
-        w = max(1, min(n, int(round(window / ((xs[-1] - xs[0]) / n)))))
-        ma = np.convolve(natural_spline(xs, ys, at), np.ones(w), "valid") / w
-        return pd.DataFrame({by: pdf[by].iloc[0], x: at[-len(ma) :], y: ma})
-
-    return points.groupBy(by).applyInPandas(run, f"{by} {kind}, {x} double, {y} double")
+    ranked = _ranked(points)
+    ends = ranked.groupBy("_by").agg(F.min("_x").alias("_x0"), F.max("_x").alias("_x1")).withColumn("_n", F.rint((F.col("_x1") - F.col("_x0")) / dx).cast("long"))
+    width = F.rint(window / ((F.col("_x1") - F.col("_x0")) / F.col("_n"))).cast("long")
+    ends = ends.where("_n >= 2").withColumn("_w", F.greatest(F.lit(1), F.least("_n", width)))
+    block, at = F.floor(F.col("_rank") / KNOTS), F.col("_rank") % KNOTS
+    blocks = F.array_compact(F.array(block, F.when((at <= HALO) & (block > 0), block - 1), F.when(at >= KNOTS - HALO, block + 1)))
+    knots = ranked.withColumn("_block", F.explode(blocks)).join(ends.withColumnRenamed("_by", "_of"), F.col("_by").eqNullSafe(F.col("_of"))).drop("_of")
+
+    def repeated(names: pd.Series, n: int) -> pd.Series:
+        name = names.iloc[0]
+        return pd.Series([None if pd.isna(name) else name] * n, dtype=object)
+
+    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_rank")
+        xs, rank, k = pdf["_x"].to_numpy(float), pdf["_rank"].to_numpy(), int(pdf["_block"].iloc[0])
+        x0, x1, n, w = (pdf[c].iloc[0].item() for c in ("_x0", "_x1", "_n", "_w"))
+        own = np.flatnonzero(rank // KNOTS == k)
+        i = np.empty(0, np.int64)
+        if len(own):
+            a, step = xs[own[0]], (x1 - x0) / (n - 1)
+            b = xs[own[-1] + 1] if own[-1] + 1 < len(xs) else math.inf
+            i = np.arange(max(0, int((a - x0) / step) - 1), min(n, int((min(b, x1) - x0) / step) + 3))
+        places = np.where(i == n - 1, x1, x0 + i * ((x1 - x0) / (n - 1)))
+        here = (places >= a) & (places < b) if len(own) else np.empty(0, bool)
+        i, places = i[here], places[here]
+        values = natural_spline(xs, pdf["_y"].to_numpy(float), places) if len(i) else places
+        return pd.DataFrame({"_by": repeated(pdf["_by"], len(i)), "_i": i, "_x": places, "_y": values, "_w": w})
+
+    smooth = knots.groupBy("_by", "_block").applyInPandas(resample, f"_by {kind}, _i long, _x double, _y double, _w long")
+    # the last _w - 1 points of a block count in the next one too
+    size = F.greatest(F.lit(POINTS), F.col("_w"))
+    block = F.floor(F.col("_i") / size)
+    smooth = smooth.withColumn("_block", F.explode(F.array_compact(F.array(block, F.when(F.col("_i") % size > size - F.col("_w"), block + 1)))))
+
+    def average(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_i")
+        w = int(pdf["_w"].iloc[0])
+        # a last block may hold nothing but the points of the one before
+        ma = np.convolve(pdf["_y"].to_numpy(float), np.ones(w), "valid") / w if len(pdf) >= w else np.empty(0)
+        at = pdf["_x"].to_numpy(float)
+        return pd.DataFrame({by: repeated(pdf["_by"], len(ma)), x: at[len(at) - len(ma) :], y: ma})
+
+    return smooth.groupBy("_by", "_block").applyInPandas(average, f"{by} {kind}, {x} double, {y} double")
+
+
+def _ranked(points: DataFrame) -> DataFrame:
+    """``points(_by, _x, _y)`` with their _rank by _x within _by, from 0; no series is in one task."""
+    ordered = points.repartitionByRange("_by", "_x").sortWithinPartitions("_by", "_x").withColumn("_id", F.monotonically_increasing_id())
+    # rows keep their numbers, which follow the order
+    ordered = ordered.checkpoint() if points.sparkSession.conf.get("spark.checkpoint.dir", None) else ordered.persist()
+    ordered = ordered.withColumn("_part", F.shiftright("_id", 33))
+    parts = ordered.groupBy("_by", "_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_size"))
+    w = Window.partitionBy("_by").orderBy("_part")
+    parts = parts.select(F.col("_by").alias("_of"), F.col("_part").alias("_in"), "_first", (F.sum("_size").over(w) - F.col("_size")).alias("_before"))
+    on = F.col("_by").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_in"))
+    return ordered.join(parts, on).select("_by", "_x", "_y", (F.col("_id") - F.col("_first") + F.col("_before")).alias("_rank"))
