@@ -13,22 +13,26 @@ def needs_regen(outputs: DataFrame, inputs: DataFrame, by: str, mtime: str = "mt
     return o.join(i, by, "left").select(by, (F.col("gone") | F.coalesce(F.col("newest") >= F.col("oldest"), F.lit(False))).alias("stale"))
 
 
-def closure(edges: DataFrame, start: DataFrame, src: str = "src", dst: str = "dst", node: str = "node", most: int = 1000) -> DataFrame:
+def closure(edges: DataFrame, start: DataFrame, src: str = "src", dst: str = "dst", node: str = "node", most: int | None = None) -> DataFrame:
     """All nodes reachable from ``start(node)``, themselves included, with the fewest steps.
 
-    Breadth first: each round joins only the nodes that the last one found.
+    Breadth first: each round joins only the nodes that the last one found, until it finds none.
+    More than ``most`` steps, where it is given, are an error.
     """
     seen = start.select(node).distinct().withColumn("depth", F.lit(0))
     front, depth = seen, 0
     hops = edges.select(src, F.col(dst).alias("_next")).distinct()
-    while depth < most:
+    while True:
         depth += 1
         found = front.join(hops, front[node] == hops[src]).select(F.col("_next").alias(node)).distinct().join(seen.select(node), node, "left_anti")
         found = found.withColumn("depth", F.lit(depth)).checkpoint() if depth % 5 == 0 and front.sparkSession.conf.get("spark.checkpoint.dir", None) else found.withColumn("depth", F.lit(depth)).persist()
         if found.isEmpty():
-            break
+            return seen
+        if most is not None and depth > most:
+            raise ValueError(f"nodes are more than {most} steps away")
         seen, front = seen.unionAll(found), found
-    return seen
+        if depth % 50 == 0:  # the plan of a deep closure stays short
+            seen = seen.checkpoint() if seen.sparkSession.conf.get("spark.checkpoint.dir", None) else seen.localCheckpoint()
 
 
 def intermediates(edges: DataFrame, targets: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
