@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.llm import decontaminate, language, near_dedup, passages, quality
+from geoloom.llm.words import mix
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -83,14 +84,42 @@ def test_keys_meet_within_the_distance(spark):
     assert pairs.count() == 40
 
 
-def test_compact_windows_are_all_minima():
-    h = np.random.default_rng(3).permutation(200).astype(np.uint64)
-    got = set(passages.compact_windows(h, 20))
-    for i in range(181):
-        for j in range(i + 19, 200):
-            c = i + int(h[i : j + 1].argmin())
-            assert any(l <= i and j <= r and c == m for l, m, r in got)
-    assert len(passages.compact_windows(np.zeros(5000, np.uint64), 20)) < 5000
+def test_compact_windows():
+    """Against the recursion: the first minimum of a stretch is its node, left and right of it follow its children."""
+
+    def nodes(h, begin, end, width):
+        if end - begin < width:
+            return []
+        c = begin + int(np.argmin(h[begin:end]))
+        return [(begin, c, end - 1), *nodes(h, begin, c, width), *nodes(h, c + 1, end, width)]
+
+    rng = np.random.default_rng(2)
+    for width in (3, 20):
+        parts = [rng.integers(0, top, n).astype(np.uint64) for top, n in ((1 << 40, 300), (1 << 40, width), (5, 150), (1 << 40, 61))]
+        s, ends = np.concatenate(parts), np.cumsum([len(x) for x in parts])
+        text, h, *places = passages.compact_windows(s, ends, width)
+        for f in range(passages.FUNCTIONS):
+            with np.errstate(over="ignore"):
+                value = mix(s * passages._MULTIPLY[f] + passages._ADD[f])
+            for k, end in enumerate(ends):
+                mine = (text == k) & (h & np.uint64(passages.FUNCTION) == f)
+                got = sorted(zip(*(x[mine].tolist() for x in places)))
+                assert got == sorted(nodes(value[end - len(parts[k]) : end] >> np.uint64(passages.PLACE), 0, len(parts[k]), width))
+
+
+def test_overlaps_against_all_pairs():
+    rng = np.random.default_rng(3)
+    l = rng.integers(0, 80, 60)
+    c, f = l + rng.integers(0, 30, 60), rng.integers(0, 3, 60)
+    r = c + rng.integers(0, 30, 60)
+    want = {
+        frozenset((i, j)) for i in range(60) for j in range(i)
+        if f[i] != f[j] and min(r[i], r[j]) - max(l[i], l[j]) + 1 >= 12 and all(max(l[i], l[j]) <= x <= min(r[i], r[j]) for x in (c[i], c[j]))
+    }
+    got = [frozenset(p) for p in zip(*(x.tolist() for x in passages.overlaps(f, l, c, r, 12)))]
+    assert set(got) == want and len(got) == len(want)
+    some = rng.random(60) < 0.3
+    assert {frozenset(p) for p in zip(*(x.tolist() for x in passages.overlaps(f, l, c, r, 12, some)))} == {p for p in want if any(some[list(p)])}
 
 
 def test_repeated_passages(spark):
