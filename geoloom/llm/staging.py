@@ -32,11 +32,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it again."""
+    """Write ``df`` as Parquet into the shared folder and read it again.
+
+    The shuffle files of the write go with its end, as the table is read from its files; the
+    session's setting is as before afterwards.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
