@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .staging import small_batches, stage
-from .words import U64, WordHashes, shingles, signed, texts
+from .staging import stage
+from .words import U64, WordHashes, shingles, signed, slices, texts
 
 WINDOW, SHINGLE = 13, 4
 #: Windows that one pass over the documents looks for; more are done in further passes.
@@ -41,7 +41,7 @@ def _windows(size: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for item, text in zip(batch.column(0).to_pylist(), texts(batch)):
                 words = item_words(text)
@@ -83,7 +83,7 @@ def _frequencies(index, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, sizes = index.value
         known, total = WordHashes(), np.zeros(len(found.values), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             for text in texts(batch):
                 h = known.of(item_words(text))
                 for s in sizes:
@@ -102,7 +102,7 @@ def _scan(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, by_prefix, sizes = index.value
         known = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             counts, spans, items = [], [], []
             for text in texts(batch):
                 words = item_words(text)
@@ -121,8 +121,8 @@ def _scan(index):
                 spans.append([x for s in sorted(set(hit)) for x in s])
                 items.append(sorted(seen))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
-                names=["uid", "doc_id", "n_words", "spans", "items"],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))],
+                names=["uid", "doc_id", "text_crc32", "n_words", "spans", "items"],
             )
 
     return run
@@ -130,7 +130,7 @@ def _scan(index):
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Spans and items of all passes -> the numbers per document."""
-    for batch in batches:
+    for batch in slices(batches):
         n_hit, n_items, digests = [], [], []
         for spans, items in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
             n, end = 0, 0
@@ -144,16 +144,16 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_words = batch.column("n_words")
         bad = [h > 0 and 20 * h >= n for h, n in zip(n_hit, n_words.to_pylist())]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), n_words, pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests), pa.array(bad, pa.bool_())],
-            names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+            [batch.column("doc_id"), batch.column("text_crc32"), n_words, pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digests), pa.array(bad, pa.bool_())],
+            names=["doc_id", "text_crc32", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
         )
 
 
-JUDGED = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+JUDGED = "doc_id long, text_crc32 long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` for every row of ``documents``.
+    """``doc_id, text_crc32, n_words, n_hit, n_items, items_sha256, contaminated`` for every row of ``documents``.
 
     documents(doc_id, text), benchmark(item_id, text).  An item of fewer words than a window is
     one window; an item without words, or a null item_id, has none.  A null text has no words.
@@ -164,7 +164,6 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     The windows are looked for in blocks of ``block``, each sent to the tasks (under 100 MB); every further block is a further pass over the documents.
     """
     spark = documents.sparkSession
-    small_batches(spark)
     items = benchmark.where("item_id IS NOT NULL").select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     listed = items.mapInArrow(_windows(window, shingle), "item_id string, window binary, shingles array<long>")
     # of equal windows, one; with the items that hold it
@@ -173,7 +172,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     blocks = -(-windows.count() // block)
     windows = windows.withColumn("block", F.pmod(F.xxhash64("window"), F.lit(max(1, blocks))))
     docs = documents.select(
-        F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+        F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), F.crc32(F.col("text").cast("string")).alias("text_crc32"), F.col("text").cast("string").alias("text")
     )
     if blocks > 1:
         docs = stage(docs, "documents")
@@ -182,9 +181,9 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
         return passes[0].drop("uid").mapInArrow(_judge, JUDGED)
     both = passes[0]
     for more in passes[1:]:
-        more = more.toDF("uid", "doc_id2", "n_words2", "spans2", "items2")
+        more = more.toDF("uid", "doc_id2", "text_crc322", "n_words2", "spans2", "items2")
         both = both.join(more, "uid").select(
-            "uid", "doc_id", "n_words", F.concat("spans", "spans2").alias("spans"), F.concat("items", "items2").alias("items")
+            "uid", "doc_id", "text_crc32", "n_words", F.concat("spans", "spans2").alias("spans"), F.concat("items", "items2").alias("items")
         )
     return both.drop("uid").mapInArrow(_judge, JUDGED)
 
@@ -209,4 +208,4 @@ def _pass(docs: DataFrame, rows: list[T.Row], shingle: int) -> DataFrame:
             by_prefix.setdefault((min(shingle, len(words)), int(hashes[offset])), []).append((offset, words, items))
     found = Found(np.array([h for _, h in by_prefix], U64))
     index = spark.sparkContext.broadcast((found, by_prefix, sizes))
-    return docs.mapInArrow(_scan(index), "uid long, doc_id long, n_words long, spans array<int>, items array<string>")
+    return docs.mapInArrow(_scan(index), "uid long, doc_id long, text_crc32 long, n_words long, spans array<int>, items array<string>")

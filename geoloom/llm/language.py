@@ -15,8 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import small_batches
-from .words import texts
+from .words import slices, texts
 
 #: Length of a profile, and documents of each language that its profile is learned from at most.
 PROFILE, SAMPLE = 400, 2000
@@ -28,7 +27,7 @@ def letter_codes(text: str) -> np.ndarray:
     """Code points of the lower-cased letters; each run of anything else is one 0."""
     global _letters
     if _letters is None:
-        _letters = np.array([chr(i).isalpha() for i in range(0x30000)])
+        _letters = np.array([chr(i).isalpha() for i in range(0x110000)])
     c = np.frombuffer(text.lower().encode("utf-32-le", "replace"), "<u4").astype(np.int64)
     c = np.where((c < len(_letters)) & _letters[np.minimum(c, len(_letters) - 1)], c, 0)
     c = np.concatenate([[0], c, [0]])
@@ -76,7 +75,7 @@ class Profiles:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         by_lang: dict[str, list[str]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), texts(batch)):
             by_lang.setdefault(lang, []).append(text.decode("utf-8", "replace"))
@@ -109,7 +108,7 @@ def learn_profiles(documents: DataFrame, top: int = PROFILE, sample: int = SAMPL
 
 def _predict(profiles):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [profiles.value.nearest(t.decode("utf-8", "replace")) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
@@ -129,7 +128,6 @@ def identify_language(documents: DataFrame, top: int = PROFILE, sample: int = SA
     Null doc_ids are not held out; repeated rows all come back; other columns are ignored.
     """
     spark = documents.sparkSession
-    small_batches(spark)
     docs = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     )

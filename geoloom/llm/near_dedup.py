@@ -15,7 +15,6 @@ end in different components meet again only over a shingle that similar sets mus
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +22,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .staging import drop, small_batches, stage
-from .words import U64, WordHashes, _odd, shingles, signed, split_words, texts
+from .staging import drop, stage
+from .words import U64, WordHashes, _odd, shingles, signed, slices, split_words, texts
 
 CHUNKS, SYMBOLS, BITS = 8, 4, 16
-#: Candidates further apart than this many of the 32 symbols have a similarity of 0.8 or more
-#: with probability below 1e-7 and are not confirmed.
-FAR = 20
 _MULTIPLY, _ADD = _odd(CHUNKS * SYMBOLS, 21), _odd(CHUNKS * SYMBOLS, 22)
 _SIG = [f"sig{i}" for i in range(CHUNKS)]
 
@@ -46,7 +42,7 @@ def signature(distinct: np.ndarray) -> np.ndarray:
 def _profile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             n, sets, sigs = [], [], []
             for text in texts(batch):
                 s = np.unique(shingles(known.of(split_words(text)), k))
@@ -56,10 +52,10 @@ def _profile(k: int):
                 sigs.append(signature(s))
             h, g = np.array(sets, U64).reshape(-1, 2), np.array(sigs, U64).reshape(-1, CHUNKS)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64())]
+                [batch.column(0), batch.column(2), pa.array(n, pa.int64())]
                 + [pa.array(signed(np.ascontiguousarray(h[:, i]))) for i in range(2)]
                 + [pa.array(signed(np.ascontiguousarray(g[:, i]))) for i in range(CHUNKS)],
-                names=["doc_id", "n_shingles", "set1", "set2", *_SIG],
+                names=["doc_id", "text_crc32", "n_shingles", "set1", "set2", *_SIG],
             )
 
     return run
@@ -76,17 +72,6 @@ def chunk_keys(node: str = "node") -> list:
     return keys
 
 
-def _distance(left: str, right: str):
-    """Symbols in which two signatures differ."""
-    mask = (1 << BITS) - 1
-    one = [
-        F.when(F.shiftrightunsigned(F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}")), BITS * e).bitwiseAND(mask) != 0, 1).otherwise(0)
-        for s in _SIG
-        for e in range(SYMBOLS)
-    ]
-    return reduce(lambda x, y: x + y, one)
-
-
 class Sets(dict):
     """Shingle sets by node, for as many texts as fit in a bounded number of shingles."""
 
@@ -106,7 +91,7 @@ class Sets(dict):
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = Sets(k)
-        for batch in batches:
+        for batch in slices(batches):
             keep = []
             for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch, "text_a"), texts(batch, "text_b")):
                 s, t = sets.of(a, x), sets.of(b, y)
@@ -118,35 +103,38 @@ def _confirm(k: int, percent: int):
 
 
 def near_duplicates(documents: DataFrame, k: int = 4, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``documents(doc_id, text)``.
+    """``doc_id, n_shingles, component_id, kept, text_crc32`` for every row of ``documents(doc_id, text)``.
 
     Links join documents whose sets of k-word shingles have a Jaccard similarity of at least
     ``percent`` / 100; component_id is the smallest doc_id reachable over links.  Fewer than k
     words: the whole sequence is the one shingle.  Null or empty texts, or texts of white space:
     n_shingles 0, linked with nothing.  A null doc_id has no link: component_id null, kept true.
-    Repeated rows fall in one component; rows that share a doc_id count as one document.  Other
-    columns are ignored.  An empty table gives an empty result.
+    Repeated rows fall in one component; of texts that share a doc_id each is linked by itself,
+    and text_crc32 tells them apart.  Other columns are ignored.  An empty table gives an empty
+    result.
     """
-    spark = documents.sparkSession
-    small_batches(spark)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = documents.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.crc32(F.col("text").cast("string")).alias("text_crc32")
+    )
     longs = ", ".join(f"{s} long" for s in ("set1", "set2", *_SIG))
-    profile = stage(docs.mapInArrow(_profile(k), f"doc_id long, n_shingles long, {longs}"), "profile")
-    nodes = stage(
+    profile = stage(docs.mapInArrow(_profile(k), f"doc_id long, text_crc32 long, n_shingles long, {longs}"), "profile")
+    sets = (
         profile.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("set1", "set2")
-        .agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n"), *[F.max(s).alias(s) for s in _SIG]),
-        "nodes",
-    )
-    components = _link(docs, nodes, k, percent)
-    of_set = nodes.join(components, "node", "left").select(
-        F.col("set1").alias("s1"), F.col("set2").alias("s2"), F.coalesce("component", "node").alias("component_id")
+        .agg(F.min(F.struct("doc_id", "text_crc32")).alias("first"), F.max("n_shingles").alias("n"), *[F.max(s).alias(s) for s in _SIG])
+        .select("set1", "set2", "first.*", "n", *_SIG)
     )
+    # a node is named by its smallest doc_id, or by a hash where that has several texts
+    several = sets.groupBy(F.col("doc_id").alias("named")).agg(F.count("*").alias("sets")).where("sets > 1")
+    name = F.when(F.col("sets").isNull(), F.col("doc_id")).otherwise(F.xxhash64("doc_id", "set1", "set2")).alias("node")
+    nodes = stage(sets.join(several, F.col("doc_id") == F.col("named"), "left").select(name, *sets.columns), "nodes")
+    placed = nodes.join(_link(docs, nodes, k, percent), "node", "left").select("set1", "set2", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = placed.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_set = placed.join(least, "component").select(F.col("set1").alias("s1"), F.col("set2").alias("s2"), "component_id")
     joined = profile.join(of_set, (F.col("set1") == F.col("s1")) & (F.col("set2") == F.col("s2")) & (F.col("n_shingles") > 0), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return joined.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
-    )
+    kept = F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), kept, "text_crc32")
 
 
 def _link(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
@@ -155,18 +143,17 @@ def _link(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low != high")
     buckets = stage(keys.join(shared, "key"), "buckets")
     # the texts that any candidate pair can need, once
-    wanted = buckets.select(F.col("node").alias("doc_id")).distinct()
-    held = stage(docs.join(wanted, "doc_id", "left_semi"), "candidates")
-    sig = nodes.select("node", "n", F.struct(*_SIG).alias("sig"))
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_crc32")
+    held = stage(docs.join(wanted, ["doc_id", "text_crc32"]).select("node", "text").dropDuplicates(["node"]), "candidates")
+    sizes = nodes.select("node", "n")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         close = (
-            pairs.join(sig.toDF("a", "n_a", "sig_a"), "a")
-            .join(sig.toDF("b", "n_b", "sig_b"), "b")
-            .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & (_distance("sig_a", "sig_b") <= FAR))
+            pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
+            .where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
             .select("a", "b")
         )
-        texts_of = (close.join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b"))
+        texts_of = close.join(held.toDF("a", "text_a"), "a").join(held.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
         return stage(texts_of.mapInArrow(_confirm(k, percent), "a long, b long"), "links")
 
     # first, every node against the representative with which it shares most keys
@@ -200,7 +187,7 @@ def _prefix_pairs(open_: DataFrame, held: DataFrame, k: int, percent: int) -> Da
     shared on, both sets must hold as many more as the similarity needs.  Texts changed in many
     places have shingles of their own in front, so they make no pairs within a large group.
     """
-    sets = held.join(open_.withColumnRenamed("node", "doc_id"), "doc_id").mapInArrow(_sets(k), "node long, component long, n long, shingles array<long>")
+    sets = held.join(open_, "node").mapInArrow(_sets(k), "node long, component long, n long, shingles array<long>")
     each = stage(sets.select("node", "component", "n", F.explode("shingles").alias("shingle")), "shingles")
     frequency = each.groupBy("shingle").agg(F.count("*").alias("f"), F.min("component").alias("c0"), F.max("component").alias("c1"))
     common = each.join(frequency.where("c0 != c1").select("shingle", "f"), "shingle")
@@ -220,10 +207,10 @@ def _prefix_pairs(open_: DataFrame, held: DataFrame, k: int, percent: int) -> Da
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingles(known.of(split_words(t)), k)) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("component"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))],
+                [batch.column("node"), batch.column("component"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))],
                 names=["node", "component", "n", "shingles"],
             )
 

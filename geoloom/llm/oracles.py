@@ -59,7 +59,7 @@ WITH t AS (
          row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
   FROM conversations WHERE conv_id IS NOT NULL
 ), p AS (
-  SELECT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, min(conv_id) AS chosen_id, max(conv_id) AS rejected_id
+  SELECT (conv_id - ((conv_id % 2 + 2) % 2)) // 2 AS pair_id, min(conv_id) AS chosen_id, max(conv_id) AS rejected_id
   FROM (SELECT DISTINCT conv_id FROM t) GROUP BY 1 HAVING min(conv_id) < max(conv_id)
 ), n AS (
   SELECT conv_id, max(k) AS n FROM t GROUP BY conv_id

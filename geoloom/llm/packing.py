@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .staging import small_batches, stage
+from .staging import stage
 from .tokens import default_tokenizer, encoded
-from .words import batches_of
+from .words import batches_of, slices
 
 #: Parts into which the ranking of one length is split, so that no length meets in one task.
 SALTS = 64
@@ -206,7 +206,7 @@ def _place(plan, window: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         segments = plan.value
-        for batch in batches:
+        for batch in slices(batches, 200):
             for doc_id, n, ids, rank, base in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids", "rank", "base"))):
                 full = n // window
                 for k in range(full):
@@ -217,7 +217,7 @@ def _place(plan, window: int):
                         at = full * window + start
                         yield doc_id, at, length, ids[4 * at : 4 * (at + length)], n, sequence + rank - lo, offset
 
-    return lambda batches: batches_of(rows(batches), schema, 2000)
+    return lambda batches: batches_of(rows(batches), schema, 500)
 
 
 def pack_documents(documents: DataFrame, window: int = 4096, end_id: int = 2, tokenizer: str | None = None) -> DataFrame:
@@ -230,7 +230,6 @@ def pack_documents(documents: DataFrame, window: int = 4096, end_id: int = 2, to
     no piece.
     """
     spark = documents.sparkSession
-    small_batches(spark)
     rows = documents.select(
         F.monotonically_increasing_id().alias("uid"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id")
     )

@@ -65,5 +65,5 @@ def format_preferences(turns: DataFrame, pairs: DataFrame) -> DataFrame:
 def adjacent_pairs(turns: DataFrame) -> DataFrame:
     """Conversations 2n and 2n + 1 as chosen and rejected of pair n."""
     ids = turns.select(F.col("conv_id").cast("long").alias("conv_id")).where("conv_id IS NOT NULL").distinct()
-    sides = ids.groupBy(F.floor(F.col("conv_id") / 2).alias("pair_id")).agg(F.min("conv_id").alias("chosen_id"), F.max("conv_id").alias("rejected_id"))
+    sides = ids.groupBy(F.expr("CAST(conv_id - pmod(conv_id, 2) AS BIGINT) DIV 2").alias("pair_id")).agg(F.min("conv_id").alias("chosen_id"), F.max("conv_id").alias("rejected_id"))
     return sides.where("chosen_id < rejected_id")

@@ -136,7 +136,7 @@ class Ensemble:
     intercept: float
 
     def column(self, of: str = "") -> Column:
-        """The score, over columns (or, with ``of``, fields of a struct) named by STATISTICS."""
+        """The score, over columns named by STATISTICS, with ``of`` before each name."""
         total = F.lit(self.intercept)
         for rule, weight in zip(self.rules, self.weights):
             total = total + F.when(reduce(lambda a, b: a & b, [c.column(of) for c in rule]), F.lit(weight)).otherwise(0.0)
@@ -180,7 +180,8 @@ def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.
 
 
 def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``documents``, with all their columns, whose score reaches the threshold."""
+    """The rows of ``documents``, with all their columns, whose score reaches the threshold; rows as in ``score_quality``."""
     model = fit(documents, labels, sample)
-    measured = documents.select("*", F.struct(*statistics(F.col("text"))).alias("_statistics"))
-    return measured.where(model.column("_statistics.") >= threshold).select(*documents.columns)
+    # behind a generator of one row the statistics are made once; a filter on plain columns would repeat them in every rule
+    measured = documents.select("*", F.inline(F.array(F.struct(*[c.alias(f"__{name}") for c, name in zip(statistics(F.col("text")), STATISTICS)]))))
+    return measured.where(model.column("__") >= threshold).select(*documents.columns)

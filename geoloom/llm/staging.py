@@ -1,14 +1,13 @@
 """Tables that a job writes into the shared folder and reads again.
 
-The folder is the one named by ``spark.checkpoint.dir``; where that is unset (tests), a
-temporary folder of this machine is set.  A staged table cuts the lineage, survives the loss
+The folder is the one named by ``spark.checkpoint.dir``; where that is unset, one in the
+warehouse, which executors share as well.  A staged table cuts the lineage, survives the loss
 of executors, and is compressed and columnar.  Staged tables go when the application ends;
 ``drop`` removes one that is no longer read.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +17,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this application."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="staging-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
-    return path
+        # the warehouse is the other folder that all executors share
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
+    return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -65,12 +63,5 @@ def drop(*staged: DataFrame) -> None:
             hadoop_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bound the Arrow batches of whole texts, unless the session sets its own bound."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, "10000") == "10000":
-        spark.conf.set(key, str(rows))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

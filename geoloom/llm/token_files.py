@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .staging import new_path, small_batches, stage
+from .staging import new_path, stage
 from .tokens import default_tokenizer, encoded
 from .words import batches_of
 
@@ -168,7 +168,6 @@ def write_token_files(
     and repeated rows are all written.  Other columns are ignored; an empty table gives no file.
     """
     spark = documents.sparkSession
-    small_batches(spark)
     folder = folder or new_path(spark, "token-files")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")

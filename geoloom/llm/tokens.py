@@ -12,10 +12,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from .words import texts
+from .words import slices, texts
 
 #: Words that a process remembers as recent; past it, these become the older ones and the older go.
-MAX_WORDS = 600_000
+MAX_WORDS = 150_000
 #: A special token of the vocabulary, used between words that are encoded in one call.
 BETWEEN, MARK = "<|endoftext|>", b"<|"
 
@@ -120,7 +120,5 @@ def word_tokens(path: str) -> WordTokens:
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, at_once: int = 200) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each batch with the ids of its texts, each with ``end_id`` behind; null texts count as empty."""
     tokens, end = word_tokens(path), int(end_id).to_bytes(4, "little")
-    for batch in batches:
-        for i in range(0, batch.num_rows, at_once):
-            part = batch.slice(i, at_once)
-            yield part, [x + end for x in tokens.encode(texts(part))]
+    for part in slices(batches, at_once):
+        yield part, [x + end for x in tokens.encode(texts(part))]
