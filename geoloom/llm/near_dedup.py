@@ -174,7 +174,7 @@ def _link(docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
     more = confirmed(_prefix_pairs(open_, held, k, percent))
     if not more.isEmpty():
         components = connected_components(links.unionAll(more))
-    drop(open_, more, links)
+    drop(open_, more, links, buckets, held)
     return components
 
 
