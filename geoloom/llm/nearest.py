@@ -4,9 +4,10 @@ Either half of a vector is quantised by its own centroids, so an entry lies in o
 cells.  A query walks the cells in order of the summed distance of their two centroids, with a
 heap, until they hold enough entries; these are reranked by the exact distance.
 
-The index is a table of entries with their cells, in partitions that Spark deals by row, not
-by cell, so a full cell is spread.  Queries come in blocks of a fixed size, each sent to the
-tasks with the cells it visits; every task keeps the nearest of its entries, and the final
+The index is a table of entries with their cells.  Queries become rows, one for each cell that
+they visit, and meet the entries of just these cells in a join by cell and salt: the salt deals a
+cell's entries over several tasks, so that a full cell is no one task's work.  A task computes
+distances of its cell's queries and entries only, in blocks, and keeps the nearest; the final
 order is taken over these.
 """
 
@@ -22,10 +23,12 @@ from pyspark.sql import functions as F
 
 from .staging import stage
 
-#: Centroids of each half; vectors they are fitted on at most; queries of a block.
-CENTROIDS, SAMPLE, BLOCK = 128, 20_000, 1024
-#: Share of all entries that a query's cells hold at least, and their number at least.
-SHARE, LEAST = 0.42, 2000
+#: Centroids of each half; vectors they are fitted on at most.
+CENTROIDS, SAMPLE = 16, 20_000
+#: Share of all entries that a query's cells hold at least.
+SHARE = 0.6
+#: Entries of one salt of a cell, about; entries and queries of a distance matrix.
+SALTED, BLOCK = 20_000, 1024
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -71,99 +74,102 @@ def _assign(c1: np.ndarray, c2: np.ndarray, half: int):
             if batch.num_rows:
                 x = _matrix(batch)
                 cell = nearest_centroid(x[:, :half], c1) * len(c2) + nearest_centroid(x[:, half:], c2)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int64())], names=["vec_id", "vector", "cell"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=["uid", "vec_id", "vector", "cell"])
 
     return run
 
 
 def _routes(c1: np.ndarray, c2: np.ndarray, half: int, counts: np.ndarray, enough: int):
-    """Queries -> a bit for each cell that the query visits."""
+    """Queries -> the cells that each visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = []
+            cells = []
             for v in _matrix(batch) if batch.num_rows else ():
-                seen = np.zeros(len(counts), bool)
-                seen[visit(((c1 - v[:half]) ** 2).sum(axis=1), ((c2 - v[half:]) ** 2).sum(axis=1), counts, enough)] = True
-                bits.append(np.packbits(seen).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=["query_id", "vector", "cells"])
+                found = visit(((c1 - v[:half]) ** 2).sum(axis=1), ((c2 - v[half:]) ** 2).sum(axis=1), counts, enough)
+                cells.append([c for c in found if counts[c]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=["uid", "vec_id", "vector", "cells"])
 
     return run
 
 
-def _search(queries, k: int):
-    """Entries -> for each query the k nearest among this batch's entries in its cells."""
+def nearest_of(queries: tuple[np.ndarray, ...], entries: tuple[np.ndarray, ...], k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query uid, query id, entry id, distance) of the k nearest entries of each query, without itself; by blocks.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, seen = queries.value
-        q2 = (q**2).sum(axis=1)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, own, cell = _matrix(batch), batch.column("vec_id").to_numpy(), batch.column("cell").to_numpy()
-            x2 = (x**2).sum(axis=1)
-            out: list[list] = [[], [], []]
-            for s in range(0, len(ids), 64):
-                d = q2[s : s + 64, None] + x2[None] - 2 * q[s : s + 64] @ x.T
-                d[~seen[s : s + 64][:, cell] | (ids[s : s + 64, None] == own[None])] = np.inf
-                for r, row in enumerate(d):
-                    # the k nearest, with all that rounding cannot tell from the k-th; then exact distances
-                    kth = np.partition(row, k - 1)[k - 1] if len(row) > k else np.inf
-                    at = np.flatnonzero((row <= kth + 1e-9 * (1 + abs(kth))) & np.isfinite(row)) if np.isfinite(kth) else np.flatnonzero(np.isfinite(row))
-                    if len(at):
-                        exact = np.sqrt(((x[at] - q[s + r]) ** 2).sum(axis=1))
-                        at, exact = (z[np.lexsort((own[at], exact))[:k]] for z in (at, exact))
-                        for o, z in zip(out, (np.full(len(at), ids[s + r]), own[at], exact)):
-                            o.append(z)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], names=["query_id", "vec_id", "score"])
+    Either side is (uid, id, matrix).  Distances come from products first; what rounding cannot
+    tell from the k-th is then measured exactly.
+    """
+    (q_uid, q_id, q), (uid, own, x) = queries, entries
+    q2 = (q**2).sum(axis=1)
+    for e in range(0, len(uid), BLOCK):
+        some, some_id, some_uid = x[e : e + BLOCK], own[e : e + BLOCK], uid[e : e + BLOCK]
+        x2 = (some**2).sum(axis=1)
+        for s in range(0, len(q_uid), BLOCK):
+            d = q2[s : s + BLOCK, None] + x2[None] - 2 * q[s : s + BLOCK] @ some.T
+            slack = 1e-9 * (1 + q2[s : s + BLOCK, None] + x2[None].max())
+            d[q_uid[s : s + BLOCK, None] == some_uid[None]] = np.inf
+            near = d <= np.partition(d, k - 1, axis=1)[:, k - 1 : k] + slack if d.shape[1] > k else np.isfinite(d)
+            row, at = np.nonzero(near & np.isfinite(d))
+            exact = np.sqrt(((some[at] - q[s + row]) ** 2).sum(axis=1))
+            order = np.lexsort((some_uid[at], some_id[at], exact, row))
+            row, at, exact = row[order], at[order], exact[order]
+            first = np.searchsorted(row, row, "left")
+            kept = np.arange(len(row)) - first < k
+            yield q_uid[s + row[kept]], q_id[s + row[kept]], some_id[at[kept]], exact[kept]
+
+
+def _search(k: int):
+    """The queries and the entries of one salt of one cell -> for each query the k nearest of them."""
+
+    def run(left, right):
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_pylist([], schema=_FOUND)
+        side = lambda t: (t.column("uid").to_numpy(), t.column("vec_id").to_numpy(), np.asarray(t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(t.num_rows, -1))
+        columns = [np.concatenate(c) for c in zip(*nearest_of(side(left), side(right), k))]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], schema=_FOUND)
 
     return run
 
 
+_FOUND = pa.schema([("uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
 def nearest_neighbours(
-    embeddings: DataFrame, k: int = 10, every: int = 100, centroids: int = CENTROIDS, share: float = SHARE, sample: int = SAMPLE, block: int = BLOCK
+    embeddings: DataFrame, k: int = 10, every: int = 100, centroids: int = CENTROIDS, share: float = SHARE, sample: int = SAMPLE
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest found of each query, by Euclidean distance.
 
     embeddings(vec_id, embedding).  Queries are the rows whose vec_id is divisible by ``every``;
-    candidates all rows with another vec_id.  Rows whose vec_id or vector is null, or whose
-    vector is empty, zero, holds a null or non-finite component, or has not the most frequent
-    length, take no part.  Ties go to the smaller vec_id; equal vectors are all candidates, and
-    repeated rows count once each.  An empty table gives an empty result.
+    candidates all other rows, those with the query's vec_id included.  Rows whose vec_id or
+    vector is null, or whose vector is empty, zero, holds a null or non-finite component, or has
+    not the most frequent length, take no part.  Ties go to the smaller vec_id; equal vectors are
+    all candidates, repeated rows count once each, and each row of a vec_id is a query of its own.
+    An empty table gives an empty result.
     """
     spark = embeddings.sparkSession
     v = F.col("embedding").cast("array<double>")
     good = F.size(v).__gt__(0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).where(good)
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector"))
+    rows = rows.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector"))
     size = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    found = "query_id long, vec_id long, score double"
     if size is None:
-        return spark.createDataFrame([], found).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     half, rows = max(1, size.n // 2), rows.where(F.size("vector") == size.n)
     fitted = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toPandas()
     x = np.stack(fitted["vector"].to_numpy()).astype(float)
     c1, c2 = k_means(x[:, :half], centroids), k_means(x[:, half:], centroids) if size.n > 1 else np.zeros((1, 0))
-    index = stage(rows.mapInArrow(_assign(c1, c2, half), "vec_id long, vector array<double>, cell long"), "index")
+    index = stage(rows.mapInArrow(_assign(c1, c2, half), "uid long, vec_id long, vector array<double>, cell int"), "index")
     counts = np.zeros(len(c1) * len(c2), np.int64)
     for r in index.groupBy("cell").count().collect():  # at most centroids ** 2 rows
         counts[r.cell] = r["count"]
-    enough = max(LEAST, int(share * counts.sum()))
-    queries = index.where(F.col("vec_id") % every == 0).select("vec_id", "vector")
-    blocks = max(1, -(-queries.count() // block))
-    routed = queries.mapInArrow(_routes(c1, c2, half, counts, enough), "query_id long, vector array<double>, cells binary")
-    routed = stage(routed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
-    parts = []
-    for b in range(blocks):
-        some = routed.where(F.col("block") == b).dropDuplicates(["query_id"]).collect()  # about ``block`` rows
-        if some:
-            ids, q = np.array([r.query_id for r in some]), np.array([r.vector for r in some], float)
-            seen = np.unpackbits(np.frombuffer(b"".join(r.cells for r in some), np.uint8).reshape(len(some), -1), axis=1)[:, : len(counts)].astype(bool)
-            near = index.mapInArrow(_search(spark.sparkContext.broadcast((ids, q, seen)), k), found)
-            parts.append(near if blocks == 1 else stage(near, "near"))
-    near = parts[0] if parts else spark.createDataFrame([], found)
-    for p in parts[1:]:
-        near = near.unionAll(p)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+    salts = -(-counts // SALTED)
+    queries = index.where(F.col("vec_id") % every == 0).select("uid", "vec_id", "vector")
+    routed = queries.mapInArrow(_routes(c1, c2, half, counts, int(np.ceil(share * counts.sum()))), "uid long, vec_id long, vector array<double>, cells array<int>")
+    # at most centroids ** 2 numbers
+    of_cell = F.create_map([F.lit(int(n)) for c in np.flatnonzero(counts) for n in (c, salts[c])])
+    visits = routed.select("uid", "vec_id", "vector", F.explode("cells").alias("cell"))
+    visits = visits.withColumn("salt", F.explode(F.sequence(F.lit(0), of_cell[F.col("cell")] - 1)))
+    entries = index.withColumn("salt", F.pmod(F.xxhash64("uid"), of_cell[F.col("cell")]).cast("int"))
+    near = visits.groupBy("cell", "salt").cogroup(entries.groupBy("cell", "salt")).applyInArrow(_search(k), "uid long, query_id long, vec_id long, score double")
+    order = Window.partitionBy("uid").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -10,7 +10,7 @@ import xxhash
 
 U64 = np.uint64
 #: Entries that a task's dictionary of word hashes holds at most; past it, it starts anew.
-MAX_WORDS = 400_000
+MAX_WORDS = 150_000
 
 
 class WordHashes(dict):
@@ -64,7 +64,7 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 200) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most ``rows``, so that few texts are held as Python objects at once."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):

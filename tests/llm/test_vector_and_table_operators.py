@@ -44,7 +44,7 @@ def test_neighbours_recall_and_odd_rows(spark):
     odd = [(6100, None), (6200, [0.0] * 16), (6300, [float("nan")] * 16), (6400, [None] * 16), (None, rows[1][1]), (6500, [1.0, 2.0]), (6600, [])]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>").withColumns({"cell": F.lit(1), "rank": F.lit(1)})
     got = {}
-    for r in nearest.nearest_neighbours(df, centroids=32, block=16).orderBy("query_id", "rank").collect():
+    for r in nearest.nearest_neighbours(df, centroids=32).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     want = brute(np.arange(6000), x, 10, 100)
     assert set(got) == set(want)
@@ -119,3 +119,28 @@ def test_pipeline(spark):
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0
     tokens = out.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("m"))
     assert tokens.where("n <> m").count() == 0 and tokens.count() == counts[-1]
+
+
+def test_rows_that_share_a_vec_id_are_queries_and_candidates(spark):
+    rows = [(100, [1.0, 0.0]), (100, [5.0, 5.0]), (1, [1.0, 1.0]), (2, [4.0, 5.0])]
+    got = nearest.nearest_neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3, share=1.0).collect()
+    assert sorted((r.rank, r.vec_id) for r in got) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 100), (3, 100)]
+
+
+def test_search_measures_entries_of_visited_cells_only(spark, tmp_path):
+    """Fewer distances than pairs, and nine of ten true neighbours, on vectors without clusters."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    counts = np.bincount(rng.integers(0, 256, 3000), minlength=256)
+    seen = nearest.visit(rng.random(16), rng.random(16), counts, int(0.6 * 3000))
+    assert 0.6 * 3000 <= counts[seen].sum() < 0.65 * 3000
+    got = {}
+    for r in nearest.nearest_neighbours(df).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hits = 0
+    for q, found in got.items():
+        d = np.linalg.norm(x - x[q], axis=1)
+        d[q] = np.inf
+        hits += len(set(np.argsort(d)[:10].tolist()) & set(found))
+    assert len(got) == 30 and hits >= 0.9 * 300
