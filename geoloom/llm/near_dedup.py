@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .staging import drop, stage
+from .staging import drop, small_batches, stage
 from .words import U64, WordHashes, _odd, shingles, signed, slices, split_words, texts
 
 CHUNKS, SYMBOLS, BITS = 8, 4, 16
@@ -113,6 +113,7 @@ def near_duplicates(documents: DataFrame, k: int = 4, percent: int = 80) -> Data
     and text_crc32 tells them apart.  Other columns are ignored.  An empty table gives an empty
     result.
     """
+    small_batches(documents.sparkSession)
     docs = documents.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.crc32(F.col("text").cast("string")).alias("text_crc32")
     )

@@ -63,5 +63,15 @@ def drop(*staged: DataFrame) -> None:
             hadoop_path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Bound the Arrow batches of whole texts in executors, unless the session has a bound of its own.
+
+    Spark reads this setting when a query runs, that is after a lazy result was returned, so it stays set.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, "10000") == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
