@@ -164,7 +164,8 @@ def nearest_neighbours(
         counts[r.cell] = r["count"]
     salts = -(-counts // SALTED)
     queries = index.where(F.col("vec_id") % every == 0).select("uid", "vec_id", "vector")
-    routed = queries.mapInArrow(_routes(c1, c2, half, counts, int(np.ceil(share * counts.sum()))), "uid long, vec_id long, vector array<double>, cells array<int>")
+    enough = max(k + 1, int(np.ceil(share * counts.sum())))  # k candidates besides the query itself, if there are so many
+    routed = queries.mapInArrow(_routes(c1, c2, half, counts, enough), "uid long, vec_id long, vector array<double>, cells array<int>")
     # at most centroids ** 2 numbers
     of_cell = F.create_map([F.lit(int(n)) for c in np.flatnonzero(counts) for n in (c, salts[c])])
     visits = routed.select("uid", "vec_id", "vector", F.explode("cells").alias("cell"))
