@@ -59,7 +59,8 @@ def positive_rectangle(x0: Column, x1: Column, y0: Column, y1: Column) -> Column
 
 def checksum(*columns: Column) -> Column:
     """MD5 over the values with their types, stable over runs."""
-    return F.md5(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(columns)]), {"ignoreNullFields": "false"}))
+    typed = [x for i, c in enumerate(columns) for x in (F.typeof(c).alias(f"t{i}"), c.alias(f"c{i}"))]
+    return F.md5(F.to_json(F.struct(*typed), {"ignoreNullFields": "false"}))
 
 
 def ellipse(a: float, b: float, e: float, n: float, points: int) -> Column:

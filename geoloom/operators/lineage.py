@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..staging import drop, stage
+
 
 def needs_regen(outputs: DataFrame, inputs: DataFrame, by: str, mtime: str = "mtime") -> DataFrame:
     """Per rule: whether an input is at least as new as an output, or an output is missing (null mtime)."""
@@ -13,26 +17,34 @@ def needs_regen(outputs: DataFrame, inputs: DataFrame, by: str, mtime: str = "mt
     return o.join(i, by, "left").select(by, (F.col("gone") | F.coalesce(F.col("newest") >= F.col("oldest"), F.lit(False))).alias("stale"))
 
 
+#: Rounds whose nodes are put together into one table, so that the plan of a deep closure stays short.
+ROUNDS = 16
+
+
 def closure(edges: DataFrame, start: DataFrame, src: str = "src", dst: str = "dst", node: str = "node", most: int | None = None) -> DataFrame:
     """All nodes reachable from ``start(node)``, themselves included, with the fewest steps.
 
-    Breadth first: each round joins only the nodes that the last one found, until it finds none.
-    More than ``most`` steps, where it is given, are an error.
+    Breadth first: the edges are staged once, and each round joins only the nodes that the last one
+    found, until it finds none.  Null ends of edges lead nowhere.  More than ``most`` steps, where
+    it is given, are an error.
     """
-    seen = start.select(node).distinct().withColumn("depth", F.lit(0))
-    front, depth = seen, 0
-    hops = edges.select(src, F.col(dst).alias("_next")).distinct()
+    hops = stage(edges.select(F.col(src).alias("_from"), F.col(dst).alias("_next")).where("_next IS NOT NULL").distinct(), "hops")
+    front = stage(start.select(node).distinct().withColumn("depth", F.lit(0)), "front")
+    seen, depth = [front], 0
     while True:
         depth += 1
-        found = front.join(hops, front[node] == hops[src]).select(F.col("_next").alias(node)).distinct().join(seen.select(node), node, "left_anti")
-        found = found.withColumn("depth", F.lit(depth)).checkpoint() if depth % 5 == 0 and front.sparkSession.conf.get("spark.checkpoint.dir", None) else found.withColumn("depth", F.lit(depth)).persist()
-        if found.isEmpty():
-            return seen
+        known = reduce(DataFrame.unionAll, seen)
+        found = front.join(hops, front[node] == hops["_from"]).select(F.col("_next").cast(front.schema[node].dataType).alias(node)).distinct()
+        front = stage(found.join(known.select(node), node, "left_anti").withColumn("depth", F.lit(depth)), "front")
+        if front.isEmpty():
+            drop(hops, front)
+            return known
         if most is not None and depth > most:
             raise ValueError(f"nodes are more than {most} steps away")
-        seen, front = seen.unionAll(found), found
-        if depth % 50 == 0:  # the plan of a deep closure stays short
-            seen = seen.checkpoint() if seen.sparkSession.conf.get("spark.checkpoint.dir", None) else seen.localCheckpoint()
+        seen.append(front)
+        if len(seen) > ROUNDS:
+            parts, seen = seen, [stage(reduce(DataFrame.unionAll, seen), "seen")]
+            drop(*parts[:-1])  # the last one is the front
 
 
 def intermediates(edges: DataFrame, targets: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

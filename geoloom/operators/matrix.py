@@ -47,11 +47,14 @@ def compact(m: DataFrame) -> DataFrame:
     return m.groupBy("row", "col").agg(F.sum("v").alias("v")).where("v != 0")
 
 
-def overlap(fine: DataFrame, fine_grid: Grid, coarse_grid: Grid) -> DataFrame:
+def overlap(fine: DataFrame, fine_grid: Grid, coarse_grid: Grid, mask: DataFrame | None = None) -> DataFrame:
     """IuA for cells(i, j) of the fine grid: each belongs to the coarse cell that holds its centre.
 
-    v is the signed area dx * dy of a fine cell; cells outside the coarse grid have no entry.
+    v is the signed area dx * dy of a fine cell; cells outside the coarse grid have no entry, nor
+    have those that ``mask(i, j, inside)`` does not hold, where it is given.
     """
+    if mask is not None:
+        fine = fine.join(mask.where("inside").select("i", "j").distinct(), ["i", "j"], "left_semi")
     x, y = fine_grid.to_xy(F.col("i"), F.col("j"))
     ai, aj = coarse_grid.to_ij(x, y)
     placed = fine.select(fine_grid.index(F.col("i"), F.col("j")).alias("row"), ai.alias("_i"), aj.alias("_j"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grid import Grid
+from .ranking import running_total
 
 #: 5 x 5 gradient kernel (fixed values).
 GRADIENT_X = [
@@ -182,9 +183,17 @@ def _interpolate(cells: DataFrame, source: Grid, target: Grid, how: str) -> Data
 
 
 def moving_average(series: DataFrame, width: int, x: str = "x", y: str = "y", by: Sequence[str] = ()) -> DataFrame:
-    """Mean of the last ``width`` values of each series, where there are as many."""
-    w = Window.partitionBy(*by).orderBy(x)
-    return series.withColumns({"ma": F.avg(y).over(w.rowsBetween(-(width - 1), 0)), "_n": F.row_number().over(w)}).where(F.col("_n") >= width).drop("_n")
+    """Mean of the last ``width`` values of each series, where there are as many.
+
+    Series are worked on in blocks; the last ``width`` - 1 rows of a block count in the next one too.
+    """
+    size = max(POINTS, width)
+    ranked = running_total(series, by, [x], F.lit(1), "_rank")
+    block, at = F.floor(F.col("_rank") / size), F.col("_rank") % size
+    blocks = ranked.withColumn("_own", block).withColumn("_block", F.explode(F.array_compact(F.array(block, F.when(at > size - width, block + 1)))))
+    w = Window.partitionBy(*by, "_block").orderBy("_rank").rowsBetween(-(width - 1), 0)
+    averaged = blocks.withColumn("ma", F.avg(y).over(w)).where((F.col("_block") == F.col("_own")) & (F.col("_rank") >= width - 1))
+    return averaged.select(*series.columns, "ma")
 
 
 def natural_spline(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -218,7 +227,7 @@ def spline_average(series: DataFrame, by: str, dx: float, window: float, x: str
     """
     points = series.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(by).alias("_by"), F.col(x).cast("double").alias("_x")).agg(F.avg(y).cast("double").alias("_y"))
     kind = series.schema[by].dataType.simpleString()
-    ranked = _ranked(points)
+    ranked = running_total(points, ["_by"], ["_x"], F.lit(1), "_rank")
     ends = ranked.groupBy("_by").agg(F.min("_x").alias("_x0"), F.max("_x").alias("_x1")).withColumn("_n", F.rint((F.col("_x1") - F.col("_x0")) / dx).cast("long"))
     width = F.rint(window / ((F.col("_x1") - F.col("_x0")) / F.col("_n"))).cast("long")
     ends = ends.where("_n >= 2").withColumn("_w", F.greatest(F.lit(1), F.least("_n", width)))
@@ -261,16 +270,3 @@ def spline_average(series: DataFrame, by: str, dx: float, window: float, x: str
         return pd.DataFrame({by: repeated(pdf["_by"], len(ma)), x: at[len(at) - len(ma) :], y: ma})
 
     return smooth.groupBy("_by", "_block").applyInPandas(average, f"{by} {kind}, {x} double, {y} double")
-
-
-def _ranked(points: DataFrame) -> DataFrame:
-    """``points(_by, _x, _y)`` with their _rank by _x within _by, from 0; no series is in one task."""
-    ordered = points.repartitionByRange("_by", "_x").sortWithinPartitions("_by", "_x").withColumn("_id", F.monotonically_increasing_id())
-    # rows keep their numbers, which follow the order
-    ordered = ordered.checkpoint() if points.sparkSession.conf.get("spark.checkpoint.dir", None) else ordered.persist()
-    ordered = ordered.withColumn("_part", F.shiftright("_id", 33))
-    parts = ordered.groupBy("_by", "_part").agg(F.min("_id").alias("_first"), F.count("*").alias("_size"))
-    w = Window.partitionBy("_by").orderBy("_part")
-    parts = parts.select(F.col("_by").alias("_of"), F.col("_part").alias("_in"), "_first", (F.sum("_size").over(w) - F.col("_size")).alias("_before"))
-    on = F.col("_by").eqNullSafe(F.col("_of")) & (F.col("_part") == F.col("_in"))
-    return ordered.join(parts, on).select("_by", "_x", "_y", (F.col("_id") - F.col("_first") + F.col("_before")).alias("_rank"))

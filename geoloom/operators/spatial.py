@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import running_total
+
 #: A ring is array<struct<x double, y double>>, not closed; the last point joins the first.
 RING = "array<struct<x:double,y:double>>"
 
@@ -73,16 +75,60 @@ def fraction_inside(points: DataFrame, by: str, inside: Column, threshold: float
     return n.withColumn("matched", F.col("n_inside") > threshold * F.col("n"))
 
 
+def box_pairs(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+    """Pairs of rows whose boxes (x0, x1, y0, y1) meet; ``a`` keeps its columns, those of ``b`` begin with ``b_``.
+
+    Boxes are listed under the grid cells they touch; a pair counts in the first cell that both touch.
+    """
+
+    def listed(df: DataFrame, p: str) -> DataFrame:
+        x0, x1, y0, y1 = (F.col(p + c) for c in ("x0", "x1", "y0", "y1"))
+        return df.withColumn("_ci", F.explode(_bins(x0, x1, cell))).withColumn("_cj", F.explode(_bins(y0, y1, cell)))
+
+    pairs = listed(a, "").join(listed(b.toDF(*[f"b_{c}" for c in b.columns]), "b_"), ["_ci", "_cj"])
+    meets = (F.col("x0") <= F.col("b_x1")) & (F.col("b_x0") <= F.col("x1")) & (F.col("y0") <= F.col("b_y1")) & (F.col("b_y0") <= F.col("y1"))
+    first = lambda c: F.floor(F.greatest(F.col(f"{c}0"), F.col(f"b_{c}0")) / cell)
+    return pairs.where(meets & (F.col("_ci") == first("x")) & (F.col("_cj") == first("y"))).drop("_ci", "_cj")
+
+
 def boxes_meeting(boxes: DataFrame, query: DataFrame, cell: float) -> DataFrame:
     """Rows of ``boxes`` whose box meets some box of ``query`` (a semi join on bounding boxes)."""
+    pairs = box_pairs(boxes, query.select("x0", "x1", "y0", "y1"), cell)
+    row = F.struct(*boxes.columns).alias("_row")
+    return pairs.select(row).distinct().select("_row.*")
+
 
-    def listed(df: DataFrame) -> DataFrame:
-        return df.withColumn("_ci", F.explode(_bins(F.col("x0"), F.col("x1"), cell))).withColumn("_cj", F.explode(_bins(F.col("y0"), F.col("y1"), cell)))
+def _side(p: Column, q: Column, r: Column) -> Column:
+    """The sign of the turn p, q, r."""
+    return F.signum((q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"]))
 
-    b = boxes.withColumn("_row", F.struct(*boxes.columns))
-    q = listed(query.select("x0", "x1", "y0", "y1")).toDF("_x0", "_x1", "_y0", "_y1", "_ci", "_cj")
-    meets = (F.col("x0") <= F.col("_x1")) & (F.col("_x0") <= F.col("x1")) & (F.col("y0") <= F.col("_y1")) & (F.col("_y0") <= F.col("y1"))
-    return listed(b).join(q, ["_ci", "_cj"], "inner").where(meets).select("_row").distinct().select("_row.*")
+
+def _between(p: Column, q: Column, r: Column) -> Column:
+    """Whether r, on the line through p and q, lies between them."""
+    return r["x"].between(F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])) & r["y"].between(F.least(p["y"], q["y"]), F.greatest(p["y"], q["y"]))
+
+
+def segments_meet(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """Whether the segments a-b and c-d share a point, ends included."""
+    s1, s2, s3, s4 = _side(a, b, c), _side(a, b, d), _side(c, d, a), _side(c, d, b)
+    touch = [(s == 0) & _between(*t) for s, t in ((s1, (a, b, c)), (s2, (a, b, d)), (s3, (c, d, a)), (s4, (c, d, b)))]
+    return ((s1 != s2) & (s3 != s4)) | touch[0] | touch[1] | touch[2] | touch[3]
+
+
+def line_meets_ring(line: Column, ring: Column) -> Column:
+    """Whether a line (array of points) meets the area of a ring: its first point lies inside, or it crosses an edge."""
+    steps = F.arrays_zip(F.slice(line, 1, F.size(line) - 1).alias("a"), F.slice(line, 2, F.size(line) - 1).alias("b"))
+    crossed = F.exists(steps, lambda s: F.exists(_edges(ring), lambda e: segments_meet(s["a"], s["b"], e["a"], e["b"])))
+    start = F.get(line, F.lit(0))
+    return F.when(F.size(line) < 1, F.lit(False)).otherwise(F.coalesce(in_ring(start["x"], start["y"], ring) | ((F.size(line) > 1) & crossed), F.lit(False)))
+
+
+def lines_in_polygons(lines: DataFrame, polygons: DataFrame, cell: float, line: str = "line", ring: str = "ring") -> DataFrame:
+    """Pairs of lines and polygons that meet: bounding boxes by grid cells, then the exact test; columns as in ``box_pairs``."""
+    a = lines.where(F.size(line) > 0).withColumns(bbox(F.col(line)))
+    b = polygons.where(F.col(ring).isNotNull()).withColumns(bbox(F.col(ring)))
+    kept = [*lines.columns, *[f"b_{c}" for c in polygons.columns]]
+    return box_pairs(a, b, cell).where(line_meets_ring(F.col(line), F.col(f"b_{ring}"))).select(*kept)
 
 
 def overlapping(a: DataFrame, b: DataFrame, size: float, lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -104,29 +150,38 @@ def overlapping(a: DataFrame, b: DataFrame, size: float, lo: str = "lo", hi: str
 def index_slices(values: DataFrame, value: str, ranges: DataFrame) -> DataFrame:
     """For ranges(id, v0, v1): i0, i1, the half-open slice of the sorted values in [v0, v1).
 
-    One count per range bound, from a cumulative count of the distinct values.
+    Values and bounds are sorted together, a bound before equal values; the place of a bound is the
+    running count of the values before it, so neither side is broadcast.
     """
-    rows = values.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL")
-    below = lambda bound: F.sum(F.when(F.col("v") < F.col(bound), F.col("n")).otherwise(0))
-    counts = rows.groupBy("v").agg(F.count("*").alias("n"))
-    # the ranges are a stated, short list
-    return counts.join(F.broadcast(ranges)).groupBy("id").agg(below("v0").alias("i0"), below("v1").alias("i1"))
+    counts = values.select(F.col(value).cast("double").alias("v")).where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("n"))
+    bound = lambda k: F.struct(F.col(f"v{k}").cast("double").alias("v"), F.lit(k).alias("end"))
+    bounds = ranges.select("id", F.explode(F.array(bound(0), bound(1))).alias("b")).select("id", "b.*")
+    rows = bounds.select("id", "end", "v", F.lit(0).cast("long").alias("n"), F.lit(0).alias("kind")).unionByName(
+        counts.withColumns({"id": F.lit(None), "end": F.lit(None).cast("int"), "kind": F.lit(1)})
+    )
+    placed = running_total(rows, [], ["v", "kind"], F.col("n"), "at").where("kind = 0")
+    at = lambda k: F.max(F.when(F.col("end") == k, F.col("at"))).alias(f"i{k}")
+    return placed.groupBy("id").agg(at(0), at(1))
 
 
-def common_slices(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """For two ascending axes: the slices (a0, a1, b0, b1) that cover their common range of values.
+def common_slices(a: DataFrame, b: DataFrame, value: str, descending: bool = False) -> DataFrame:
+    """For two axes of one direction: the slices (a0, a1, b0, b1) that cover their common range of values.
 
-    An axis covers [first, last + last step).
+    An axis covers [first, last + last step), of ascending values; slices of ``descending`` axes
+    count from their greatest value.
     """
 
-    def extent(df: DataFrame) -> DataFrame:
-        top = df.select(value).distinct().orderBy(F.desc(value)).limit(2).agg((2 * F.max(value) - F.min(value)).alias("hi"))
-        return df.agg(F.min(value).alias("lo")).join(top)
+    def extent(df: DataFrame) -> tuple[Column, Column]:
+        top = df.select(value).distinct().orderBy(F.desc(value)).limit(2)
+        return df.agg(F.min(value)).scalar(), top.agg(2 * F.max(value) - F.min(value)).scalar()
 
-    ends = extent(a).toDF("alo", "ahi").join(extent(b).toDF("blo", "bhi")).select(F.greatest("alo", "blo").alias("v0"), F.least("ahi", "bhi").alias("v1"))
+    (alo, ahi), (blo, bhi) = extent(a), extent(b)
+    v0, v1 = F.greatest(alo, blo), F.least(ahi, bhi)
 
-    def count(df: DataFrame, p: str) -> DataFrame:
-        below = lambda bound: F.sum(F.when(F.col(value) < F.col(bound), 1).otherwise(0))
-        return df.join(F.broadcast(ends)).agg(below("v0").alias(f"{p}0"), below("v1").alias(f"{p}1"))
+    def count(df: DataFrame, p: str) -> list[DataFrame]:
+        below = lambda bound: F.sum(F.when(F.col(value) < bound, 1).otherwise(0))
+        # of values in descending order, those from v on stand before
+        first, last = (F.count("*") - below(v1), F.count("*") - below(v0)) if descending else (below(v0), below(v1))
+        return [df.agg(first).scalar().alias(f"{p}0"), df.agg(last).scalar().alias(f"{p}1")]
 
-    return count(a, "a").join(count(b, "b"))
+    return a.sparkSession.range(1).select(*count(a, "a"), *count(b, "b"))

@@ -104,12 +104,15 @@ def merge_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: s
     return left.join(r, cond, how).drop(*[f"_r_{c}" for c in on])
 
 
-def override_cols(df: DataFrame, overrides: DataFrame, key: str, specs: Sequence[Sequence[str]]) -> DataFrame:
+def override_cols(df: DataFrame, overrides: DataFrame, key: str, specs: Sequence[Sequence[str]], checked: bool = True) -> DataFrame:
     """Replace columns by non-null values of a table with the same key.
 
     A spec is (name,), (base, override), or (base, override, result); a null override leaves the
-    base value.  The overrides must be unique on the key.
+    base value.  The overrides must be unique on the key, else JoinError; without ``checked`` the
+    caller vouches for that and the plan stays lazy.
     """
+    if checked:
+        overrides = check_unique(overrides, [key])
     full = [(s[0], s[1] if len(s) > 1 else s[0], s[2] if len(s) > 2 else s[0]) for s in specs]
     over = overrides.select(F.col(key).alias("_key"), *[F.col(o).alias(f"_over_{i}") for i, (_, o, _) in enumerate(full)])
     joined = df.join(over, F.col(key).eqNullSafe(F.col("_key")), "left")

@@ -148,6 +148,9 @@ class ShapefileReader(DataSourceReader):
 class ShapefileWriter(DataSourceWriter):
     def __init__(self, path: str, schema: StructType, options: dict):
         self.path, self.schema, self.wkt, self.zip = path, schema, options.get("wkt"), options.get("zip")
+        long = [n for n in self._names() if len(n.encode()) > 10]  # the format's limit
+        if long:
+            raise ValueError(f"field names of more than 10 bytes: {long}")
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         part = f"{self.path}.{uuid.uuid4().hex}.part"
@@ -213,7 +216,9 @@ class ShapefileWriter(DataSourceWriter):
             return b" " * width
         text = repr(float(v)) if kind == "F" else str(int(v)) if kind == "N" else ("T" if v else "F") if kind == "L" else v.strftime("%Y%m%d") if kind == "D" else str(v)
         raw = text.encode()
-        return raw[:width].rjust(width) if kind in "FN" else raw[:width].ljust(width)
+        if len(raw) > width:
+            raise ValueError(f"a value of {len(raw)} bytes does not fit into a field of {width}: {text[:40]!r}")
+        return raw.rjust(width) if kind in "FN" else raw.ljust(width)
 
     def abort(self, messages: list) -> None:
         for m in messages:
