@@ -151,3 +151,34 @@ def parse_dict(s: Column, values: dict) -> Column:
 
 def format_dict(v: Column, values: dict) -> Column:
     return parse_dict(v, {b: a for a, b in values.items()})
+
+
+# ---- lookups and summaries
+
+
+def first_value(m: Column, keys: list[str]) -> Column:
+    """The value of the first of the keys that the map holds; an error if it holds none."""
+    return F.coalesce(*[F.try_element_at(m, F.lit(k)) for k in keys], F.raise_error(F.lit(f"none of {keys}")).cast("string"))
+
+
+def array_summary(values: Column) -> Column:
+    """Type of the elements and their number, such as ``float[64]``."""
+    kind = F.regexp_extract(F.typeof(values), "^array<(.*)>$", 1)
+    return F.concat(kind, F.lit("["), F.size(values).cast("string"), F.lit("]"))
+
+
+def progress(count: Column, total: Column) -> Column:
+    """The share done, from 0 to 1; nothing to do counts as done."""
+    return F.coalesce(F.least(F.greatest(F.try_divide(count, total), F.lit(0.0)), F.lit(1.0)), F.lit(1.0))
+
+
+def study_name(*parts: Column) -> Column:
+    """The parts as one name, with ``_`` between them; no part may hold one."""
+    bad = F.raise_error(F.lit("a part of a study's name holds _"))
+    return F.concat_ws("_", *[F.when(p.cast("string").contains("_"), bad.cast("string")).otherwise(p.cast("string")) for p in parts])
+
+
+def parse_study_name(name: Column, fields: list[str]) -> Column:
+    """The named parts of a study's name; null unless there are as many."""
+    parts = F.split(name, "_")
+    return F.when(F.size(parts) == len(fields), F.struct(*[F.get(parts, F.lit(i)).alias(f) for i, f in enumerate(fields)]))

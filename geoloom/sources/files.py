@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,12 @@ _FEATURE = "type string, properties map<string,string>, geometry struct<type:str
 
 def geojson_features(spark: SparkSession, path: str) -> DataFrame:
     """One row per feature: properties, kind, coordinates (as JSON text)."""
-    docs = spark.read.text(path, wholetext=True)
+    return features_of(spark.read.text(path, wholetext=True), "value")
+
+
+def features_of(docs: DataFrame, text: str) -> DataFrame:
+    """One row per feature of the feature collections in a text column; other texts have none."""
+    docs = docs.select(F.col(text).alias("value"))
     features = docs.select(F.explode(F.from_json(F.get_json_object("value", "$.features"), f"array<struct<{_ddl(_FEATURE)}>>")).alias("f"))
     return features.select("f.properties", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
 
@@ -75,3 +81,17 @@ def list_files(spark: SparkSession, path: str, pattern: str, names: list[str]) -
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     files = files.withColumn("name", name).where(F.col("name").rlike("^(?:" + pattern + ")"))
     return files.select("*", *[F.regexp_extract("name", pattern, k + 1).alias(n) for k, n in enumerate(names)]).orderBy(*(names or ["name"]))
+
+
+def first_found(wanted: DataFrame, files: DataFrame, name: str, path: str, sep: str = ":") -> DataFrame:
+    """``wanted(name, path)`` with the first folder of the search path, in ``files(folder, name)``, that holds the name; else null."""
+    folders = wanted.select("*", F.posexplode(F.split(path, sep)).alias("_at", "folder"))
+    hits = folders.join(files.select("folder", name).distinct(), ["folder", name])
+    best = hits.groupBy(*[F.col(c) for c in (name, path)]).agg(F.min_by("folder", "_at").alias("folder"))
+    return wanted.join(best, [name, path], "left")
+
+
+def list_globs(spark: SparkSession, globs: list[str]) -> DataFrame:
+    """Files that match any of several globs, each once, by path."""
+    files = [spark.read.format("binaryFile").load(g).select("path", "modificationTime", "length") for g in globs]
+    return reduce(DataFrame.union, files).distinct().orderBy("path")
