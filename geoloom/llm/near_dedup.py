@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .staging import drop, small_batches, stage
-from .words import U64, WordHashes, _odd, shingles, signed, slices, split_words, texts
+from .words import U64, _odd, shingles, signed, slices, texts, word_hashes
 
 CHUNKS, SYMBOLS, BITS = 8, 4, 16
 _MULTIPLY, _ADD = _odd(CHUNKS * SYMBOLS, 21), _odd(CHUNKS * SYMBOLS, 22)
@@ -41,11 +41,10 @@ def signature(distinct: np.ndarray) -> np.ndarray:
 
 def _profile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in slices(batches):
             n, sets, sigs = [], [], []
             for text in texts(batch):
-                s = np.unique(shingles(known.of(split_words(text)), k))
+                s = np.unique(shingles(word_hashes(text), k))
                 n.append(len(s))
                 with np.errstate(over="ignore"):
                     sets.append((s.sum(dtype=U64), ((s ^ (s >> U64(29))) * _MULTIPLY[0]).sum(dtype=U64)))
@@ -76,14 +75,14 @@ class Sets(dict):
     """Shingle sets by node, for as many texts as fit in a bounded number of shingles."""
 
     def __init__(self, k: int, most: int = 4_000_000):
-        self.k, self.most, self.held, self.known = k, most, 0, WordHashes()
+        self.k, self.most, self.held = k, most, 0
 
     def of(self, node: int, text: bytes) -> np.ndarray:
         if (s := self.get(node)) is None:
             if self.held > self.most:
                 self.clear()
                 self.held = 0
-            self[node] = s = np.unique(shingles(self.known.of(split_words(text)), self.k))
+            self[node] = s = np.unique(shingles(word_hashes(text), self.k))
             self.held += len(s)
         return s
 
@@ -207,9 +206,8 @@ def _prefix_pairs(open_: DataFrame, held: DataFrame, k: int, percent: int) -> Da
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in slices(batches):
-            sets = [np.unique(shingles(known.of(split_words(t)), k)) for t in texts(batch)]
+            sets = [np.unique(shingles(word_hashes(t), k)) for t in texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), batch.column("component"), pa.array([len(s) for s in sets], pa.int64()), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))],
                 names=["node", "component", "n", "shingles"],

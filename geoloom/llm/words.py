@@ -43,6 +43,35 @@ def _odd(n: int, seed: int) -> np.ndarray:
 
 
 POSITION = _odd(64, 11)
+#: Which bytes split words; by the number of a word's bytes in a block of eight, the bits that count.
+_SPACE = bytes(b in b" \t\n\x0b\x0c\r" for b in range(256))
+_COUNTS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """The 64-bit hashes of the words of a text, as ``split_words`` gives them, without an object per word.
+
+    A word is the blocks of eight bytes that it fills, the last one with zeros behind it: each is
+    mixed with its number, and their sum with the length of the word.
+    """
+    raw = b" " + text.lower() + b" " * 8  # a block may be read over the end
+    outside = np.frombuffer(raw.translate(_SPACE), bool)
+    edges = np.flatnonzero(outside[1:] != outside[:-1]) + 1
+    if not len(edges):
+        return np.empty(0, U64)
+    begin, end = edges[::2], edges[1::2]
+    size = end - begin
+    blocks = (size + 7) >> 3
+    last = np.cumsum(blocks)
+    first = last - blocks
+    of = np.repeat(np.arange(len(size)), blocks)
+    number = np.arange(len(of)) - first[of]
+    at = begin[of] + 8 * number
+    left = np.minimum(end[of] - at, 8)
+    value = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))[at] & _COUNTS[left]
+    with np.errstate(over="ignore"):
+        mixed = mix(value + number.astype(U64) * POSITION[60])
+        return mix(np.add.reduceat(mixed, first) + size.astype(U64) * POSITION[61])
 
 
 def shingles(hashes: np.ndarray, k: int) -> np.ndarray:
