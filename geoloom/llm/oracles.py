@@ -53,6 +53,30 @@ SELECT d.doc_id, CAST(coalesce(len(d.w), 0) AS BIGINT) AS n_words, CAST(coalesce
 FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN i ON d.doc_id = i.doc_id
 """
 
+LEXICAL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bt AS (
+  SELECT DISTINCT item, item_id, unnest(w) AS t FROM b
+), c AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0
+), tf AS (
+  SELECT uid, doc_id, n, t, count(*) AS tf FROM (SELECT uid, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS t FROM d)
+  WHERE t IN (SELECT t FROM bt) GROUP BY uid, doc_id, n, t
+), wt AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf CROSS JOIN c GROUP BY t, n_docs
+), s AS (
+  SELECT item, item_id, uid, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM bt JOIN tf ON tf.t = bt.t JOIN wt ON wt.t = bt.t CROSS JOIN c GROUP BY item, item_id, uid, doc_id
+), r AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+  FROM s WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
 PREFERENCES = r"""
 WITH t AS (
   SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,

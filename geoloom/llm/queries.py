@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .alignment import align_tokens
 from .decontaminate import contamination
 from .language import identify_language
+from .lexical import rank_documents
 from .near_dedup import near_duplicates
 from .nearest import nearest_neighbours
 from .packing import pack_documents
 from .passages import repeated_passages
+from .prefix_counts import token_totals
 from .preferences import adjacent_pairs, format_preferences
 from .quality import score_quality
 from .sharding import shard_documents
@@ -70,6 +73,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_totals(table(spark, sf_dir, "documents"), limit=512)
+
+
+def op12_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -83,6 +98,9 @@ QUERIES = {
         op8_compact_windows,
         op9_decontamination,
         op10_language_id,
+        op11_prefix_counts,
+        op12_reversed_search,
+        op13_token_alignment,
     )
 }
 
@@ -90,4 +108,5 @@ ORACLES: dict[str, str] = {
     "op2_minhash_near_dedup": oracles.NEAR_DUPLICATES,
     "op7_preferences": oracles.PREFERENCES,
     "op9_decontamination": oracles.CONTAMINATION,
+    "op12_reversed_search": oracles.LEXICAL,
 }
