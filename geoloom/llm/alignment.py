@@ -24,12 +24,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import Remembered, by_size, cut
+from .chunks import Remembered, by_size, cut, open_ended
 from .prefix_counts import check_byte_level, default_tokenizer
 from .staging import small_batches, stage
 
 #: Bytes of texts of a batch, whose distinct pairs are counted and looked up together.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
+#: Chunks that are encoded in a row.
+IN_ROW = 256
 SPACE_MARK = "▁"
 
 
@@ -68,13 +70,29 @@ class TwoTokenizers:
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE_MARK, " ").encode()
 
     def _chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """The ids of both sides, or None where side B does not give the bytes of the chunk back."""
-        a = self.a.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)
-        b = self.b.encode(chunks, num_threads=1)
-        out = []
-        for c, x, y in zip(chunks, a, b):
-            same = b"".join([self.bytes_b[i] for i in y]) == (" " + c).encode()
-            out.append((np.array(x.ids, "<u4").tobytes(), np.array(y, "<u4").tobytes()) if same else None)
+        """The ids of both sides, or None where side B does not give the bytes of the chunk back.
+
+        Chunks are encoded in rows, which are cut where both sides have an end; one with white space at an
+        end, and those of a row that is not given back, are encoded alone.
+        """
+        out: list = [None] * len(chunks)
+        inner = [k for k, c in enumerate(chunks) if not open_ended(c)]
+        rows = [inner[i : i + IN_ROW] for i in range(0, len(inner), IN_ROW)] + [[k] for k, c in enumerate(chunks) if open_ended(c)]
+        while rows:
+            texts = [" ".join([chunks[k] for k in row]) for row in rows]
+            a, b = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1)
+            again = []
+            for row, text, x, y in zip(rows, texts, a, b):
+                x, y = np.array(x.ids, "<u4"), np.array(y, "<u4")
+                if b"".join(map(self.bytes_b.__getitem__, y.tolist())) != (" " + text).encode():
+                    again += [[k] for k in row] if len(row) > 1 else []
+                    continue
+                ends = np.cumsum([len(chunks[k].encode()) + 1 for k in row])
+                cuts = [[0, *(4 * np.searchsorted(np.cumsum(sizes[ids]), ends) + 4).tolist()] for ids, sizes in ((x, self.size_a), (y, self.size_b))]
+                x, y = x.tobytes(), y.tobytes()
+                for k, p, q, r, s in zip(row, cuts[0], cuts[0][1:], cuts[1], cuts[1][1:]):
+                    out[k] = x[p:q], y[r:s]
+            rows = again
         return out
 
     def tokens(self, texts: list[str | None]) -> list[tuple[bytes, bytes] | None]:

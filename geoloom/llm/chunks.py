@@ -22,6 +22,12 @@ def cut(text: str) -> list[str]:
     return _CUT.split(text)
 
 
+def open_ended(chunk: str) -> bool:
+    """Whether a chunk has white space at an end, as only the first and the last of a text can: what it is
+    cut into depends on the neighbour that it would get in a row of chunks."""
+    return not chunk or chunk[0].isspace() or chunk[-1].isspace()
+
+
 class Remembered:
     """key -> what ``make`` gives for it; recent keys are kept, past ``most`` of them the older ones go."""
 
@@ -34,15 +40,13 @@ class Remembered:
         """Make sure that ``known`` has the keys."""
         if len(self.known) > self.most:
             self.older, self.known = self.known, {}
-        new = []
-        for k in keys:
-            if k not in self.known:
-                if k in self.older:
-                    self.known[k] = self.older[k]
-                else:
-                    new.append(k)
+        known, older = self.known, self.older
+        away = [k for k in keys if k not in known]
+        new = [k for k in away if k not in older] if older else away
+        if len(new) < len(away):
+            known.update((k, older[k]) for k in away if k in older)
         if new:
-            self.known.update(zip(new, self.make(new), strict=True))
+            known.update(zip(new, self.make(new), strict=True))
 
     def of(self, lists: list[list]) -> list[list]:
         """The values of lists of keys."""

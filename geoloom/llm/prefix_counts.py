@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .chunks import Remembered, by_size, cut
+from .chunks import Remembered, by_size, cut, open_ended
 from .staging import small_batches
 
 #: Contractions that are one piece but whose first two characters are two (fixed values).
@@ -136,6 +136,12 @@ class PrefixTokens:
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """Counts of the prefixes of 1, 2, ... characters of each chunk with its space in front."""
+        if any(map(open_ended, chunks)):
+            alone = {k: self._walk(" " + c).astype("<u4").tobytes() for k, c in enumerate(chunks) if open_ended(c)}
+            rest = iter(self._chunks([c for k, c in enumerate(chunks) if k not in alone]))
+            return [alone[k] if k in alone else next(rest) for k in range(len(chunks))]
+        if not chunks:
+            return []
         counts = self._walk(" " + " ".join(chunks))
         ends = np.cumsum([len(x) + 1 for x in chunks])
         base = np.append(0, counts[ends[:-1] - 1])
