@@ -91,18 +91,24 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def learn_profiles(documents: DataFrame, top: int = PROFILE, sample: int = SAMPLE) -> Profiles:
-    """Profiles from the rows with a language that are not held out: of each language the ``sample`` rows of smallest hash."""
-    rows = documents.where(~held_out() & F.col("lang").isNotNull()).withColumn("h", F.xxhash64("doc_id"))
-    first = Window.partitionBy("lang").orderBy("h")
-    last = rows.select("lang", "h").withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample)
-    last = last.groupBy("lang").agg(F.max("h").alias("last"))
+    """Profiles from the rows with a language that are not held out: of each language those whose hash is
+    below the share that ``sample`` rows are of all its rows, so about ``sample`` of them, in any number of tasks.
+
+    Rows without a doc_id share one hash: they are learned from all or none.
+    """
+    rows = documents.where(~held_out() & F.col("lang").isNotNull())
+    share = rows.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
     # one row per language
-    few = rows.join(F.broadcast(last), "lang").where("h <= last").select("lang", "text")
+    low = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("share") * (1 << 30)
+    few = rows.join(F.broadcast(share), "lang").where(low).select("lang", "text")
     counts = few.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    # the most frequent of a language are first found in parts of its n-grams
+    for part in (["lang", F.pmod("gram", F.lit(32))], ["lang"]):
+        best = Window.partitionBy(*part).orderBy(F.desc("n"), "gram")
+        counts = counts.withColumn("k", F.row_number().over(best)).where(F.col("k") <= top)
     lists: dict[str, list[int]] = {}
     # languages times ``top`` rows
-    for r in counts.withColumn("k", F.row_number().over(best)).where(F.col("k") <= top).orderBy("lang", "k").collect():
+    for r in counts.orderBy("lang", "k").collect():
         lists.setdefault(r.lang, []).append(r.gram)
     return Profiles(lists, top)
 
@@ -122,7 +128,7 @@ def _predict(profiles):
 def identify_language(documents: DataFrame, top: int = PROFILE, sample: int = SAMPLE) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for every row of ``documents(doc_id, text, lang)``.
 
-    Profiles are learned from text and non-null lang of the rows that are not held out (at most
+    Profiles are learned from text and non-null lang of the rows that are not held out (about
     ``sample`` per language); the prediction uses the whole text only.  ``und`` with score 0 for a
     null text, a text without a letter, or where no language was learned.  Equal distances: the
     language first in the alphabet.  score is 1 minus the distance over its greatest value.

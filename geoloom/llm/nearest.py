@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from .staging import stage
 
 #: Centroids of each half; vectors they are fitted on at most.
-CENTROIDS, SAMPLE = 16, 20_000
+CENTROIDS, SAMPLE = 64, 20_000
 #: Share of all entries that a query's cells hold at least.
-SHARE = 0.6
+SHARE = 0.5
 #: Entries of one salt of a cell, about; entries and queries of a distance matrix.
 SALTED, BLOCK = 20_000, 1024
 
@@ -166,11 +166,11 @@ def nearest_neighbours(
     queries = index.where(F.col("vec_id") % every == 0).select("uid", "vec_id", "vector")
     enough = max(k + 1, int(np.ceil(share * counts.sum())))  # k candidates besides the query itself, if there are so many
     routed = queries.mapInArrow(_routes(c1, c2, half, counts, enough), "uid long, vec_id long, vector array<double>, cells array<int>")
-    # at most centroids ** 2 numbers
-    of_cell = F.create_map([F.lit(int(n)) for c in np.flatnonzero(counts) for n in (c, salts[c])])
-    visits = routed.select("uid", "vec_id", "vector", F.explode("cells").alias("cell"))
-    visits = visits.withColumn("salt", F.explode(F.sequence(F.lit(0), of_cell[F.col("cell")] - 1)))
-    entries = index.withColumn("salt", F.pmod(F.xxhash64("uid"), of_cell[F.col("cell")]).cast("int"))
+    # at most centroids ** 2 rows of two numbers
+    of_cell = F.broadcast(spark.createDataFrame([(int(c), int(salts[c])) for c in np.flatnonzero(counts)], "cell int, salts int"))
+    visits = routed.select("uid", "vec_id", "vector", F.explode("cells").alias("cell")).join(of_cell, "cell")
+    visits = visits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    entries = index.join(of_cell, "cell").withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("salts")).cast("int")).select("uid", "vec_id", "vector", "cell", "salt")
     near = visits.groupBy("cell", "salt").cogroup(entries.groupBy("cell", "salt")).applyInArrow(_search(k), "uid long, query_id long, vec_id long, score double")
     order = Window.partitionBy("uid").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

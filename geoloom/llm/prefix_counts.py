@@ -32,7 +32,7 @@ from .staging import small_batches
 #: Contractions that are one piece but whose first two characters are two (fixed values).
 LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
 #: Pairs of tokens whose outcome a process remembers; bytes of texts that are worked on at once.
-PAIRS, AT_ONCE = 400_000, 1 << 20
+PAIRS, AT_ONCE = 1_000_000, 1 << 20
 _RUN = re.compile(r"\s\s+")
 
 
@@ -149,23 +149,21 @@ class PrefixTokens:
         at = (4 * np.append(0, ends)).tolist()
         return [raw[a:b] for a, b in zip(at, at[1:])]
 
-    def _plain(self, text: str) -> np.ndarray:
+    def _plain(self, text: str, chunks: list[str] | None = None) -> np.ndarray:
         """Counts of the prefixes of 1, 2, ... characters, special strings as plain text."""
         if not text:
             return np.empty(0, np.int64)
-        first, *rest = cut(text)
+        first, *rest = chunks or cut(text)
         parts = [self._walk(first).astype("<u4").tobytes(), *self.chunks.of([rest])[0]]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) >> 2
         counts = np.frombuffer(b"".join(parts), "<u4").astype(np.int64)
         totals = counts[np.cumsum(sizes) - 1]
         return counts + np.repeat(np.cumsum(totals) - totals, sizes)
 
-    def meet(self, texts: list[str]) -> None:
-        """Learn the chunks of texts together, which is quicker than one text after another."""
-        self.chunks.learn({x for t in texts for x in cut(t)[1:]})
-
-    def counts(self, text: str) -> np.ndarray:
+    def counts(self, text: str, chunks: list[str] | None = None) -> np.ndarray:
         """Token counts of the prefixes of 1, 2, ... characters, each as the library encodes that prefix."""
+        if not self.special.search(text):
+            return self._plain(text, chunks)
         out, base, begin = [], 0, 0
         for found in self.special.finditer(text):
             # cut inside the special string, a prefix ends in plain characters
@@ -175,6 +173,12 @@ class PrefixTokens:
             base, begin = base + int(whole), found.end()
         return np.concatenate([*out, base + self._plain(text[begin:])]).astype(np.int64)
 
+    def of(self, texts: list[str]) -> list[np.ndarray]:
+        """``counts`` of each text; their chunks are learned together, which is quicker than one text after another."""
+        cuts = [cut(t) for t in texts]
+        self.chunks.learn(set().union(*[c[1:] for c in cuts]))
+        return [self.counts(t, c) for t, c in zip(texts, cuts)]
+
 
 _loaded: dict[str, PrefixTokens] = {}
 
@@ -202,8 +206,7 @@ def prefix_counts(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         counter = prefix_tokens(path)
         for batch in by_size(batches, AT_ONCE):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            counter.meet(texts)
-            counts = [counter.counts(t).astype(">u4").tobytes() for t in texts]
+            counts = [c.astype(">u4").tobytes() for c in counter.of(texts)]
             columns = [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array(counts, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_chars", "counts"])
 

@@ -149,8 +149,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty:
     rows = rows.groupBy(F.col("doc_id").cast("long").alias("label_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("y"))
     few = rows.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # ``few`` has at most ``sample`` rows of two numbers
-    known = docs.join(F.broadcast(few), F.col("doc_id") == F.col("label_id")).select(*statistics(F.col("text")), "y").toPandas().to_numpy(float)
+    # ``few`` has at most ``sample`` rows of two numbers; of texts that share a doc_id one is learned from
+    measured = docs.join(F.broadcast(few), F.col("doc_id") == F.col("label_id")).select("label_id", *statistics(F.col("text")), "y")
+    one = measured.groupBy("label_id").agg(F.max(F.struct(*STATISTICS, "y")).alias("row")).select("row.*")
+    known = one.toPandas().to_numpy(float)
     if not len(known):
         return Ensemble([], [], 0.0)
     known = known[np.lexsort(known.T)]  # the same model whatever the order of the rows
@@ -158,6 +160,8 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE, penalty:
     if y.min() == y.max():
         return Ensemble([], [], 4.0 if y[0] else -4.0)
     rules = tree_rules(x, y)
+    if not rules:  # too few rows to split: the share of the labels alone
+        return Ensemble([], [], float(np.log(y.mean() / (1 - y.mean()))))
     z = np.stack([reduce(np.logical_and, [c.holds(x) for c in r]) for r in rules], axis=1).astype(float)
     w, b = lasso_logistic(z, y, penalty)
     keep = np.flatnonzero(np.abs(w) > 1e-3)
@@ -171,7 +175,9 @@ def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.
     doc_id as text leaves a remainder modulo 5); a score depends on the text alone.  Null and
     empty texts are scored as texts without characters; null doc_ids are not held out; repeated
     rows all come back; null labels are left out.  Without labels every score is 0.5, with labels
-    of one kind it is that kind's.  Other columns are ignored.
+    of one kind it is that kind's, and with too few to grow a tree their share.  Rows of
+    ``documents`` that share a labelled doc_id are learned from as one, that of the greatest statistics.
+    Other columns are ignored.
     """
     model = fit(documents, labels, sample)
     measured = documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), *statistics(F.col("text")))

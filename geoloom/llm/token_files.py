@@ -164,14 +164,15 @@ def write_token_files(
 
     Manifest, one row per file: part, path, n_docs, n_ids, start (ids in all files before it).
     A file that a lost attempt of a task left is in no manifest.  Null texts are empty (only the
-    end id is written); null doc_ids come first; rows that share a doc_id are ordered by text,
-    and repeated rows are all written.  Other columns are ignored; an empty table gives no file.
+    end id is written); null doc_ids come first; rows that share a doc_id are ordered by
+    a hash of the text, then by text, and repeated rows are all written.  Other columns are ignored; an empty table gives no file.
     """
     spark = documents.sparkSession
     small_batches(spark)
     folder = folder or new_path(spark, "token-files")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", F.xxhash64("text"), "text"]  # ranges are cut in this order too, by ids and hashes alone
+    rows = rows.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
     write = _write(folder, tokenizer or default_tokenizer(), end_id, frame_ids)
     files = stage(rows.mapInArrow(write, "part int, path string, n_docs long, n_ids long"), "manifest")
     # one row per file: a file holds a partition, so their number is bounded by the partitions

@@ -1,11 +1,13 @@
 """Token ids of whole texts, by the tokenizers library, inside tasks.
 
-A text is cut at ASCII white space, where ``word_bpe_49k`` also ends every token, and each
-distinct lower-cased word is encoded by the library once per worker process and remembered.
+With a tokenizer that lower-cases, drops white space and ends words with ``</w>``, as
+``word_bpe_49k`` does, a text is cut at ASCII white space, and each distinct lower-cased word is
+encoded by the library once per worker process and remembered.  Any other tokenizer gets whole texts.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -26,6 +28,23 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _kinds(part: dict | None) -> list[str]:
+    """The types of a normalizer or pre-tokenizer, a sequence's in order."""
+    if not part:
+        return []
+    return [k for p in part.get("normalizers", part.get("pretokenizers", [])) for k in _kinds(p)] if part["type"] == "Sequence" else [part["type"]]
+
+
+def words_alone(path: str) -> bool:
+    """Whether a tokenizer's file says that words are lower-cased, cut at white space and encoded each by itself."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    special = {t["content"] for t in said.get("added_tokens", [])}
+    folded = "Lowercase" in _kinds(said.get("normalizer"))
+    cut = any(p.get("type") == "Split" and p.get("invert") and p.get("behavior") == "Removed" for p in (said.get("pre_tokenizer") or {}).get("pretokenizers", []))
+    return folded and cut and said["model"].get("end_of_word_suffix") == "</w>" and BETWEEN in special
+
+
 class WordTokens:
     """bytes of a text -> its ids as little-endian unsigned 32-bit integers, without special tokens."""
 
@@ -35,6 +54,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = words_alone(path)
         self.between = self.tokenizer.token_to_id(BETWEEN)
         names = self.tokenizer.get_vocab()
         self.ends_word = np.zeros(max(names.values()) + 1, bool)
@@ -86,6 +106,8 @@ class WordTokens:
             self.known[w] = raw[a:b]
 
     def encode(self, docs: list[bytes]) -> list[bytes]:
+        if not self.by_words:
+            return [self._whole(d) for d in docs]
         # a text that holds a special token's string is encoded as a whole: there, case and cuts matter
         split = [None if MARK in d else d.lower().split() for d in docs]
         if len(self.known) > MAX_WORDS:

@@ -56,6 +56,19 @@ def test_neighbours_recall_and_odd_rows(spark):
     assert nearest.nearest_neighbours(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_given_vectors(spark, sf):
+    folder = f"/root/testdata/{sf}"
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float)
+    want = brute(ids, x, 10, 100)
+    got = {q: set() for q in want}
+    for r in QUERIES["op3_multi_index"](spark, folder).collect():
+        got[r.query_id].add(r.vec_id)
+    recall = sum(len(got[q] & {a for a, _ in want[q]}) for q in want) / sum(map(len, want.values()))
+    assert recall >= 0.9, recall
+
+
 def test_shards(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i), "é" * int(n), str(rng.choice(["a", "b"]))) for i, n in enumerate(rng.lognormal(4, 1, 4000))]
