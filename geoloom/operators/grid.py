@@ -5,9 +5,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.crs import wkt_of
+from ..functions.projections import Projection
 from .spatial import bbox, in_ring
 
 
@@ -89,7 +92,8 @@ class Grid:
 
 
 def domain_grid(x0: float, x1: float, y0: float, y1: float, size: tuple[float, float], wkt: str = "") -> Grid:
-    """North-up grid of tiles of a size, with the box rounded outward to whole tiles."""
+    """North-up grid of tiles of a size: left and top borders are whole tiles at or below those of the box
+    (so up to a tile at the top is left out), right and bottom borders lie at or beyond them."""
     dx, dy = size[0], -size[1]
     left, top = dx * math.floor(x0 / dx), dy * math.ceil(y1 / dy)
     return Grid(math.ceil((x1 - left) / dx), math.ceil((y0 - top) / dy), (left, dx, 0.0, top, 0.0, dy), wkt)
@@ -139,3 +143,38 @@ def axis(lo: float, step: float, n: int) -> Column:
 def lonlat_grid(nlon: int, nlat: int) -> Grid:
     """The whole globe in nlon by nlat cells, latitudes ascending."""
     return Grid(nlon, nlat, (-180.0, 360.0 / nlon, 0.0, -90.0, 0.0, 180.0 / nlat))
+
+
+def infer_grid(centers: DataFrame, system: Projection, tolerance: float = 1e-4) -> Grid:
+    """The grid of ``system`` whose cells (j, i) have their centres at the given lon and lat, in degrees.
+
+    x and y are fitted as origin + step * index over all cells: the sums of the normal equations are one
+    aggregate, taken about the middle of the indices and the first coordinates so that they keep their
+    digits.  The grid has to give every centre back within ``tolerance`` degrees by the inverse
+    projection, and no two centres may be one cell's; else, or with fewer than two rows or columns, a
+    ValueError.
+    """
+    x, y = system.forward(F.col("lon").cast("double"), F.col("lat").cast("double"))
+    cells = centers.where("j IS NOT NULL AND i IS NOT NULL AND lon IS NOT NULL AND lat IS NOT NULL").select("j", "i", "lon", "lat", x.alias("_x"), y.alias("_y"))
+    about = cells.agg(*[f(c).alias(f"{n}{c}") for c in ("i", "j") for n, f in (("a", F.min), ("b", F.max))], F.avg("_x").alias("x"), F.avg("_y").alias("y"), F.count("*").alias("n")).first()
+    if not about["n"] or about["ai"] == about["bi"] or about["aj"] == about["bj"]:
+        raise ValueError("a grid needs two rows and two columns of centres")
+    if about["ai"] < 0 or about["aj"] < 0:
+        raise ValueError("indices of cells begin at 0")
+    mi, mj = (about["ai"] + about["bi"]) / 2, (about["aj"] + about["bj"]) / 2
+    terms = {"1": F.lit(1.0), "i": F.col("i") - mi, "j": F.col("j") - mj}
+    right = {"x": F.col("_x") - about["x"], "y": F.col("_y") - about["y"]}
+    sums = cells.agg(*[F.sum(terms[a] * b).alias(f"{a}{n}") for a in terms for n, b in [*terms.items(), *right.items()]]).first()
+    normal = np.array([[sums[a + b] for b in terms] for a in terms])
+    (x0, xi, xj), (y0, yi, yj) = (np.linalg.solve(normal, np.array([sums[a + c] for a in terms])).tolist() for c in "xy")
+    # north-up grids have no terms across; what the fit leaves of them is rounding
+    size = max(abs(xi), abs(yj))
+    xj, yi = (0.0 if abs(v) * max(about["bi"], about["bj"]) < 1e-3 * size else v for v in (xj, yi))
+    left, top = about["x"] + x0 - xi * (mi + 0.5) - xj * (mj + 0.5), about["y"] + y0 - yi * (mi + 0.5) - yj * (mj + 0.5)
+    grid = Grid(about["bi"] + 1, about["bj"] + 1, (left, xi, xj, top, yi, yj), wkt_of(system))
+    lon, lat = system.inverse(*grid.to_xy(F.col("i"), F.col("j")))
+    turn = F.abs(lon - F.col("lon"))
+    off = cells.agg(F.max(F.least(turn, F.abs(360 - turn))).alias("lon"), F.max(F.abs(lat - F.col("lat"))).alias("lat")).first()
+    if off["lon"] is None or max(off["lon"], off["lat"]) > tolerance:
+        raise ValueError(f"the cells are no grid of this system: centres are off by {off['lon']} degrees of longitude and {off['lat']} of latitude")
+    return grid

@@ -52,6 +52,67 @@ def intermediates(edges: DataFrame, targets: DataFrame, src: str = "src", dst: s
     return closure(edges, targets, src, dst).join(targets, "node", "left_anti")
 
 
-def build_order(edges: DataFrame, targets: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """Nodes with their depth, inputs (greatest depth) first."""
-    return closure(edges, targets, src, dst).orderBy(F.desc("depth"), "node")
+def levels(edges: DataFrame, times: DataFrame, src: str = "src", dst: str = "dst", node: str = "node", mtime: str = "mtime") -> DataFrame:
+    """(node, level, mtime, newest) of every node of ``edges`` (src is made from dst) and of ``times(node, mtime)``.
+
+    ``level`` is the number of edges on the longest way down to a node that is made from nothing (0),
+    so sorting by it puts inputs before what is made from them.  ``newest`` is the greatest mtime of all
+    that a node is made from, over all levels.  Nodes are peeled: a round joins the nodes of the last
+    level to the edges that end in them, and a node is next when all its edges have been counted.
+    Nodes on a cycle, or above one, are a ValueError.  Edges with a null end are left out.
+    """
+    pairs = edges.select(F.col(src).alias("_src"), F.col(dst).alias("_dst")).where("_src IS NOT NULL AND _dst IS NOT NULL").distinct()
+    hops = stage(pairs, "hops")
+    known = times.where(F.col(node).isNotNull()).groupBy(F.col(node).alias("_at")).agg(F.max(mtime).alias("_time"))
+    names = hops.select(F.col("_src").alias("_node")).union(hops.select("_dst")).union(known.select("_at")).distinct()
+    needs = hops.groupBy("_src").agg(F.count("*").alias("_needs"))
+    nodes = names.join(needs, F.col("_node") == F.col("_src"), "left").join(known, F.col("_node") == F.col("_at"), "left")
+    nodes = stage(nodes.select("_node", F.coalesce("_needs", F.lit(0)).alias("_needs"), F.col("_time"), F.lit(None).cast(nodes.schema["_time"].dataType).alias("_newest")), "nodes")
+    done, level, waiting, first = [], 0, nodes.where("_needs > 0"), nodes
+    front = stage(nodes.where("_needs = 0").select("_node", F.lit(0).alias("_level"), "_time", "_newest"), "level")
+    while not front.isEmpty():
+        done.append(front)
+        if len(done) > ROUNDS:
+            parts, done = done, [stage(reduce(DataFrame.unionAll, done), "levels")]
+            drop(*parts[:-1])  # the last one is the front
+        level += 1
+        came = hops.join(front, F.col("_dst") == F.col("_node")).groupBy("_src").agg(F.count("*").alias("_came"), F.max(F.greatest("_time", "_newest")).alias("_new"))
+        left = waiting.join(came, F.col("_node") == F.col("_src"), "left").select(
+            "_node", (F.col("_needs") - F.coalesce("_came", F.lit(0))).alias("_needs"), "_time", F.greatest("_newest", "_new").alias("_newest")
+        )
+        rest = stage(left, "waiting")
+        drop(first)
+        first, waiting = rest, rest.where("_needs > 0")
+        front = stage(rest.where("_needs = 0").select("_node", F.lit(level).alias("_level"), "_time", "_newest"), "level")
+    stuck = [r[0] for r in waiting.select("_node").orderBy("_node").limit(10).collect()]
+    drop(hops, first)
+    if stuck:
+        raise ValueError(f"nodes that are made from themselves, or from such: {stuck}")
+    out = reduce(DataFrame.unionAll, done) if done else front
+    return out.select(F.col("_node").alias(node), F.col("_level").alias("level"), F.col("_time").alias(mtime), F.col("_newest").alias("newest"))
+
+
+def build_order(edges: DataFrame, targets: DataFrame, times: DataFrame, src: str = "src", dst: str = "dst", node: str = "node", mtime: str = "mtime") -> DataFrame:
+    """What the targets are made from, themselves included, inputs first: (node, level, mtime, newest, stale, build).
+
+    A node that is made is stale where it has no mtime or an older one than something at any level
+    below it.  ``build`` marks the stale nodes to which a way of stale nodes leads from a target: what
+    is needed only for something that is kept as it is need not be made.  A node that is made from
+    nothing, has no mtime, and is a target or an input of one to build, is an error.
+    """
+    ends = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
+    reach = closure(ends, targets.select(node), node=node).select(node)
+    inner = ends.join(reach, F.col("src") == F.col(node), "left_semi")
+    held = times.select(node, mtime).join(reach, node, "left_semi")
+    alone = reach.select(node, F.lit(None).cast(times.schema[mtime].dataType).alias(mtime))
+    ranked = stage(levels(inner, held.unionByName(alone), "src", "dst", node, mtime), "ranked")
+    stale = (F.col("level") > 0) & (F.col(mtime).isNull() | F.coalesce(F.col(mtime) < F.col("newest"), F.lit(False)))
+    ranked = ranked.withColumn("stale", stale)
+    old = ranked.where("stale").select(node)
+    down = inner.join(old, F.col("src") == F.col(node), "left_semi")
+    visited = closure(down, targets.select(node), node=node).select(F.col(node).alias("_seen"))
+    out = ranked.join(visited, F.col(node) == F.col("_seen"), "left").withColumn("build", F.col("stale") & F.col("_seen").isNotNull())
+    gone = [r[0] for r in out.where(f"level = 0 AND {mtime} IS NULL AND _seen IS NOT NULL").select(node).limit(10).collect()]
+    if gone:
+        raise ValueError(f"nothing makes these nodes, and they are not there: {gone}")
+    return out.drop("_seen").orderBy("level", node)

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .grid import Grid
+from ..functions.projections import Projection, transformer
+from .grid import Grid, invert_geotransform
 from .ranking import running_total
 
 #: 5 x 5 gradient kernel (fixed values).
@@ -151,33 +152,84 @@ RESAMPLE = {
 }
 
 
-def regrid(cells: DataFrame, source: Grid, target: Grid, how: str) -> DataFrame:
-    """(j, i, v) on the target grid: nearest, bilinear, mode (least value on ties) or one of RESAMPLE."""
+def regrid(cells: DataFrame, source: Grid, target: Grid, how: str, systems: tuple[Projection, Projection] | None = None, max_error: float = 0.0) -> DataFrame:
+    """(j, i, v) on the target grid: nearest, bilinear, mode (least value on ties) or one of RESAMPLE.
+
+    ``systems`` are the coordinate systems of the two grids, where they differ: nearest and bilinear ask
+    for every target centre where it lies on the source grid, the others place every source centre on the
+    target grid.  ``max_error``, in cells of the source, lets nearest and bilinear compute exact places at
+    a lattice only (see ``places``).
+    """
+    here, there = systems or (None, None)
     if how in ("nearest", "bilinear"):
-        return _interpolate(cells, source, target, how)
+        return _interpolate(cells, source, target, how, transformer(there, here) if systems else None, max_error)
     x, y = source.to_xy(F.col("i"), F.col("j"))
-    ti, tj = target.to_ij(x, y)
-    placed = cells.where("v IS NOT NULL").select(tj.alias("j"), ti.alias("i"), "v").where(target.inside(F.col("i"), F.col("j")))
+    if systems:
+        x, y = transformer(here, there)(x, y)
+    ti, tj = target.to_ij(F.col("_x"), F.col("_y"))
+    placed = cells.where("v IS NOT NULL").select("i", "j", "v", x.alias("_x"), y.alias("_y")).where(source.inside(F.col("i"), F.col("j")) if systems else F.lit(True))
+    placed = placed.select(tj.alias("j"), ti.alias("i"), "v").where(target.inside(F.col("i"), F.col("j")))
     if how == "mode":
         n = placed.groupBy("j", "i", "v").agg(F.count("*").alias("n"))
         return n.groupBy("j", "i").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("v"))
     return placed.groupBy("j", "i").agg(RESAMPLE[how]("v").alias("v"))
 
 
-def _interpolate(cells: DataFrame, source: Grid, target: Grid, how: str) -> DataFrame:
-    x, y = target.to_xy(F.col("i"), F.col("j"))
-    spark = cells.sparkSession
+#: Target cells along a side of a block whose places are interpolated from its corners.
+BLOCK = 16
+
+
+def places(spark: SparkSession, source: Grid, target: Grid, transform: Callable[[Column, Column], tuple[Column, Column]], max_error: float = 0.0) -> DataFrame:
+    """(j, i, _u, _v): where the centre of each target cell lies on the source grid, in cells from its corner.
+
+    ``transform`` takes coordinates of the target to those of the source.  With ``max_error`` the target is
+    cut into blocks: exact places at the corners of a block, between them bilinear, as long as at the block's
+    centre and at the middles of its sides the two differ by less than half of it; else the block is exact.
+    """
+    inverse = invert_geotransform(source.gt)
+
+    def exact(i: Column, j: Column) -> tuple[Column, Column]:
+        x, y = transform(*target.to_xy(i, j))
+        return inverse[0] + x * inverse[1] + y * inverse[2], inverse[3] + x * inverse[4] + y * inverse[5]
+
+    if not max_error:
+        u, v = exact(F.col("i"), F.col("j"))
+        return target.cells(spark).select("j", "i", u.alias("_u"), v.alias("_v"))
+    wide, high = -(-target.nx // BLOCK), -(-target.ny // BLOCK)
+    blocks = spark.range(wide * high).select((F.col("id") % wide * BLOCK).alias("_i0"), (F.floor(F.col("id") / wide) * BLOCK).alias("_j0"))
+    corners, half = (0, BLOCK), BLOCK / 2
+    probes = [(half, half), (half, 0), (half, BLOCK), (0, half), (BLOCK, half)]
+    at = {(a, b): exact(F.col("_i0") + a, F.col("_j0") + b) for a, b in [(a, b) for a in corners for b in corners] + probes}
+    blocks = blocks.select("_i0", "_j0", *[c.alias(f"_{n}{k}") for k, pair in enumerate(at.values()) for n, c in zip("uv", pair)])
+
+    def between(n: str, fi, fj) -> Column:
+        c = [F.col(f"_{n}{k}") for k in range(4)]  # (0, 0), (0, B), (B, 0), (B, B)
+        return (1 - fi) * ((1 - fj) * c[0] + fj * c[1]) + fi * ((1 - fj) * c[2] + fj * c[3])
+
+    off = [F.abs(between(n, a / BLOCK, b / BLOCK) - F.col(f"_{n}{k + 4}")) for k, (a, b) in enumerate(probes) for n in "uv"]
+    known = F.greatest(*off) < max_error / 2  # null, and so exact, where a corner has no place
+    steps = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(a).alias("a")) for b in range(BLOCK) for a in range(BLOCK)])
+    cells = blocks.withColumn("_known", F.coalesce(known, F.lit(False))).withColumn("_s", F.explode(steps))
+    cells = cells.withColumns({"i": (F.col("_i0") + F.col("_s.a")).cast("int"), "j": (F.col("_j0") + F.col("_s.b")).cast("int")}).where(target.inside(F.col("i"), F.col("j")))
+    u, v = exact(F.col("i"), F.col("j"))
+    fi, fj = F.col("_s.a") / BLOCK, F.col("_s.b") / BLOCK
+    pick = lambda n, e: F.when(F.col("_known"), between(n, fi, fj)).otherwise(e)
+    return cells.select("j", "i", pick("u", u).alias("_u"), pick("v", v).alias("_v"))
+
+
+def _interpolate(cells: DataFrame, source: Grid, target: Grid, how: str, transform: Callable | None = None, max_error: float = 0.0) -> DataFrame:
+    want = places(cells.sparkSession, source, target, transform or (lambda x, y: (x, y)), max_error)
     if how == "nearest":
-        si, sj = source.to_ij(x, y)
-        want = target.cells(spark).select("j", "i", si.alias("_i"), sj.alias("_j"), F.lit(1.0).alias("_w"))
+        want = want.select("j", "i", F.floor("_u").cast("int").alias("_i"), F.floor("_v").cast("int").alias("_j"), F.lit(1.0).alias("_w"))
     else:
-        want = target.cells(spark).withColumns({"_x": (x - source.gt[0]) / source.dx - 0.5, "_y": (y - source.gt[3]) / source.dy - 0.5})
+        want = want.select("j", "i", (F.col("_u") - 0.5).alias("_x"), (F.col("_v") - 0.5).alias("_y"))
         fx, fy = F.col("_x") - F.floor("_x"), F.col("_y") - F.floor("_y")
         four = [
             F.struct((F.floor("_x") + a).cast("int").alias("_i"), (F.floor("_y") + b).cast("int").alias("_j"), ((fx if a else 1 - fx) * (fy if b else 1 - fy)).alias("_w"))
             for a in (0, 1) for b in (0, 1)
         ]
         want = want.select("j", "i", F.explode(F.array(*four)).alias("_s")).select("j", "i", "_s.*").where("_w > 0")
+    want = want.where(source.inside(F.col("_i"), F.col("_j")))
     got = want.join(cells.where("v IS NOT NULL").toDF(*[{"j": "_j", "i": "_i"}.get(c, c) for c in cells.columns]), ["_i", "_j"])
     return got.groupBy("j", "i").agg((F.sum(F.col("v") * F.col("_w")) / F.sum("_w")).alias("v"))
 

@@ -12,7 +12,7 @@ from ..operators import shapes as sh
 from ..operators import spatial as sp
 from ..sources import files
 from .registry import query, table
-from .spatial_queries import _EDGES, _IUA, _IUE, COARSE, FINE, TRIANGLES, _matrices, _named, event_cells
+from .spatial_queries import _EDGES, _IUA, _IUE, COARSE, FINE, SUPPLIER_EDGES, TRIANGLES, _matrices, _named, event_cells, supplier_rings
 
 
 def _triangles(spark):
@@ -105,20 +105,20 @@ def q_line_in_polygon(spark, d):
     return sp.lines_in_polygons(lines, _triangles(spark), 10.0).select("vec_id", F.col("b_polygon_id").alias("polygon_id"))
 
 
-_TILES = gr.Grid(16, 18, (-30.07, 4.1, 0.0, 30.03, 0.0, -3.7))
+_TILES = gr.Grid(32, 36, (-20.07, 4.1, 0.0, 115.03, 0.0, -3.7))
 
 
 @query(f"""
-WITH e(id, px, py, qx, qy) AS (VALUES {_EDGES}),
-t AS (SELECT i, j, -30.07 + i * 4.1 AS x0, -30.07 + (i + 1) * 4.1 AS x1, 30.03 - (j + 1) * 3.7 AS y0, 30.03 - j * 3.7 AS y1 FROM range(0, 16) a(i) CROSS JOIN range(0, 18) b(j)),
+WITH {SUPPLIER_EDGES}, t AS (SELECT i, j, -20.07 + i * 4.1 AS x0, -20.07 + (i + 1) * 4.1 AS x1, 115.03 - (j + 1) * 3.7 AS y0, 115.03 - j * 3.7 AS y1 FROM range(0, 32) a(i) CROSS JOIN range(0, 36) b(j)),
 s AS (SELECT i, j, x0 AS ax, y0 AS ay, x1 AS gx, y0 AS gy FROM t UNION ALL SELECT i, j, x1, y0, x1, y1 FROM t UNION ALL SELECT i, j, x1, y1, x0, y1 FROM t UNION ALL SELECT i, j, x0, y1, x0, y0 FROM t),
-hit AS (SELECT i, j, id FROM s CROSS JOIN e WHERE {_MEET} UNION SELECT i, j, id FROM t CROSS JOIN e WHERE px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1
-  UNION SELECT i, j, id FROM s CROSS JOIN e GROUP BY i, j, id, ax, ay HAVING sum(CASE WHEN (py > ay) <> (qy > ay) AND ax < px + (ay - py) * (qx - px) / (qy - py) THEN 1 ELSE 0 END) % 2 = 1)
-SELECT id AS polygon_id, CAST(i AS INTEGER) AS idom, CAST(j AS INTEGER) AS jdom, round(x0 - 0.5, 6) AS x0, round(y1 + 0.25, 6) AS y1 FROM hit JOIN t USING (i, j)
+hit AS (SELECT i, j, s_suppkey FROM s JOIN e ON greatest(ax, gx) >= least(px, qx) AND least(ax, gx) <= greatest(px, qx) AND greatest(ay, gy) >= least(py, qy) AND least(ay, gy) <= greatest(py, qy) AND {_MEET}
+  UNION SELECT i, j, s_suppkey FROM t JOIN e ON px BETWEEN x0 AND x1 AND py BETWEEN y0 AND y1
+  UNION SELECT i, j, s_suppkey FROM s JOIN e ON (py > ay) <> (qy > ay) AND ax < px + (ay - py) * (qx - px) / (qy - py) GROUP BY i, j, s_suppkey, ax, ay HAVING count(*) % 2 = 1)
+SELECT s_suppkey, CAST(i AS INTEGER) AS idom, CAST(j AS INTEGER) AS jdom, round(x0 - 0.5, 6) AS x0, round(y1 + 0.25, 6) AS y1 FROM hit JOIN t USING (i, j)
 """)
 def q_region_tiles(spark, d):
-    hit = sh.tiles_meeting(_triangles(spark), _TILES, margin=(0.5, 0.25))
-    return hit.select("polygon_id", "idom", "jdom", F.round("x0", 6).alias("x0"), F.round("y1", 6).alias("y1"))
+    hit = sh.tiles_meeting(supplier_rings(spark, d), _TILES, margin=(0.5, 0.25))
+    return hit.select("s_suppkey", "idom", "jdom", F.round("x0", 6).alias("x0"), F.round("y1", 6).alias("y1"))
 
 
 @query(f"""
@@ -205,13 +205,13 @@ def q_reprojected_extent(spark, d):
 
 @query("""
 WITH b AS (SELECT s_suppkey, s_acctbal AS x0, s_acctbal + 90 AS x1, s_nationkey * 10.0 AS y0, s_nationkey * 10.0 + 12 AS y1 FROM supplier)
-SELECT s_suppkey FROM b WHERE EXISTS (SELECT 1 FROM (SELECT p_retailprice * 4 AS qx, p_size * 7.0 AS qy FROM part WHERE p_partkey % 20 = 0) WHERE x0 <= qx + 30 AND qx <= x1 AND y0 <= qy + 5 AND qy <= y1)
+SELECT s_suppkey FROM b WHERE EXISTS (SELECT 1 FROM (SELECT p_retailprice * 4 AS qx, p_size * 7.0 AS qy FROM part) WHERE x0 <= qx + 30 AND qx <= x1 AND y0 <= qy + 5 AND qy <= y1)
 """)
 def q_boxes_meeting(spark, d):
     x, y = F.col("s_acctbal"), F.col("s_nationkey") * 10.0
     boxes = table(spark, d, "supplier").select("s_suppkey", x.alias("x0"), (x + 90).alias("x1"), y.alias("y0"), (y + 12).alias("y1"))
     qx, qy = F.col("p_retailprice") * 4, F.col("p_size") * 7.0
-    wanted = table(spark, d, "part").where("p_partkey % 20 = 0").select(qx.alias("x0"), (qx + 30).alias("x1"), qy.alias("y0"), (qy + 5).alias("y1"))
+    wanted = table(spark, d, "part").select(qx.alias("x0"), (qx + 30).alias("x1"), qy.alias("y0"), (qy + 5).alias("y1"))
     return sp.boxes_meeting(boxes, wanted, 100.0).select("s_suppkey")
 
 
@@ -254,9 +254,17 @@ def q_largest_error(spark, d):
     return sh.largest_error(li, "l_extendedprice", "b", 1e12).select(F.round("error", 4).alias("error"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS idom, CAST(j AS INTEGER) AS jdom, i * 6.0 - 1 AS x0, i * 6.0 + 7 AS x1, j * 5.0 - 2 AS y0, j * 5.0 + 7 AS y1 FROM range(0, 4) a(i) CROSS JOIN range(0, 6) b(j)")
+@query("""
+WITH b AS (SELECT floor(min(c_acctbal) / 700) * 700 AS x0, max(c_acctbal) AS x1, min(c_custkey % 1000) AS y0, floor(max(c_custkey % 1000) / 90.0) * 90 AS y1 FROM customer),
+g AS (SELECT *, ceil((x1 - x0) / 700) AS nx, ceil((y1 - y0) / 90.0) AS ny FROM b)
+SELECT CAST(i AS INTEGER) AS idom, CAST(j AS INTEGER) AS jdom, x0 + i * 700 - 1.0 AS x0, x0 + (i + 1) * 700 + 1.0 AS x1, y1 - (j + 1) * 90 - 2.0 AS y0, y1 - j * 90 + 2.0 AS y1
+FROM g JOIN range(0, 100) a(i) ON i < nx JOIN range(0, 100) c(j) ON j < ny
+""")
 def q_tiles_margin(spark, d):
-    return gr.tiles(spark, COARSE, (1.0, 2.0))
+    """The tiles that cover all customers, with their margins."""
+    y = F.col("c_custkey") % 1000
+    box = table(spark, d, "customer").agg(F.min("c_acctbal").alias("x0"), F.max("c_acctbal").alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
+    return gr.tiles(spark, gr.domain_grid(box.x0, box.x1, box.y0, box.y1, (700.0, 90.0)), (1.0, 2.0))
 
 
 @query(f"WITH {_IUA} SELECT CAST(29 - j AS INTEGER) AS j, CAST(i AS INTEGER) AS i, v, 29 - j + 0.0 AS y FROM c")

@@ -108,29 +108,47 @@ def q_to_ij(spark, d):
     return points.select("c_custkey", i.alias("i"), j.alias("j"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, -1000.0 + (i + 0.5) * 1100.0 AS x, 1000.0 - (j + 0.5) * 50.0 AS y FROM range(0, 10) a(i) CROSS JOIN range(0, 20) b(j)")
+@query("""
+WITH c AS (SELECT c_custkey, CAST(floor((c_acctbal + 1000) / 1100.0) AS INTEGER) AS i, CAST(floor((1000 - c_custkey % 1000) / 50.0) AS INTEGER) AS j FROM customer)
+SELECT c_custkey, -1000.0 + (i + 0.5) * 1100.0 AS x, 1000.0 - (j + 0.5) * 50.0 AS y, -1000.0 + i * 1100.0 AS corner FROM c
+""")
 def q_to_xy(spark, d):
-    x, y = POINT_GRID.to_xy(F.col("i"), F.col("j"))
-    return POINT_GRID.cells(spark).select("i", "j", x.alias("x"), y.alias("y"))
+    """The centres and corners of the customers' cells."""
+    i, j = POINT_GRID.to_ij(F.col("c_acctbal"), F.col("c_custkey") % 1000)
+    placed = table(spark, d, "customer").select("c_custkey", i.alias("i"), j.alias("j"))
+    (x, y), (corner, _) = POINT_GRID.to_xy(F.col("i"), F.col("j")), POINT_GRID.to_xy(F.col("i"), F.col("j"), center=False)
+    return placed.select("c_custkey", x.alias("x"), y.alias("y"), corner.alias("corner"))
 
 
 @query("""
-SELECT CAST(floor((c_acctbal + 1500) / 1500.0) AS INTEGER) AS idom, CAST(floor((1000 - c_custkey % 1000) / 200.0) AS INTEGER) AS jdom, count(*) AS n
-FROM customer WHERE c_acctbal >= -1500 AND c_acctbal < 10500 AND c_custkey % 1000 > 0 GROUP BY 1, 2
+SELECT CAST(floor((c_acctbal + 1500) / 1500.0) AS INTEGER) AS idom, CAST(floor((1000 - c_custkey % 1000 - 0.5) / 200.0) AS INTEGER) AS jdom, count(*) AS n
+FROM customer WHERE c_acctbal BETWEEN -1500 AND 10499.99 GROUP BY 1, 2
 """)
 def q_domain_tiles(spark, d):
-    points = table(spark, d, "customer").select(F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 1000).cast("double").alias("y")).where("y > 0")
-    return gr.tiles_hit(points, gr.domain_grid(-999.0, 10000.0, 0.0, 1000.0, (1500.0, 200.0)))
+    points = table(spark, d, "customer").select(F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 1000 + 0.5).alias("y"))
+    return gr.tiles_hit(points, gr.domain_grid(-999.0, 10000.0, 0.0, 1000.5, (1500.0, 200.0)))
+
+
+#: A triangle around every supplier, and its edges.
+SUPPLIER_RING = [(-6.1, -5.3), (7.2, -3.4), (1.3, 8.2)]
+SUPPLIER_EDGES = "p AS (SELECT s_suppkey, s_acctbal / 100 AS cx, ((s_suppkey * 7) % 100) * 1.0 AS cy FROM supplier), e AS (" + " UNION ALL ".join(
+    f"SELECT s_suppkey, cx + {a[0]} AS px, cy + {a[1]} AS py, cx + {b[0]} AS qx, cy + {b[1]} AS qy FROM p" for a, b in zip(SUPPLIER_RING, SUPPLIER_RING[1:] + SUPPLIER_RING[:1])
+) + ")"
+
+
+def supplier_rings(spark, d):
+    cx, cy = F.col("s_acctbal") / 100, ((F.col("s_suppkey") * 7) % 100) * 1.0
+    ring = F.array(*[F.struct((cx + a).alias("x"), (cy + b).alias("y")) for a, b in SUPPLIER_RING])
+    return table(spark, d, "supplier").select("s_suppkey", ring.alias("ring"))
 
 
 @query(f"""
-WITH e(id, px, py, qx, qy) AS (VALUES {_EDGES}), c AS (SELECT i, j, -30.07 + (i + 0.5) * 1.5 AS x, 30.0 - (j + 0.5) * 1.25 AS y FROM range(0, 40) a(i) CROSS JOIN range(0, 48) b(j))
-SELECT id AS polygon_id, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(j * 40 + i AS BIGINT) AS cell FROM c CROSS JOIN e GROUP BY id, i, j
-HAVING sum(CASE WHEN (py > y) <> (qy > y) AND x < px + (y - py) * (qx - px) / (qy - py) THEN 1 ELSE 0 END) % 2 = 1
+WITH {SUPPLIER_EDGES}, c AS (SELECT i, j, -20.07 + (i + 0.5) * 3.1 AS x, 115.0 - (j + 0.5) * 2.55 AS y FROM range(0, 42) a(i) CROSS JOIN range(0, 50) b(j))
+SELECT s_suppkey, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(j * 42 + i AS BIGINT) AS cell FROM c JOIN e ON (py > y) <> (qy > y) GROUP BY s_suppkey, i, j
+HAVING sum(CASE WHEN x < px + (y - py) * (qx - px) / (qy - py) THEN 1 ELSE 0 END) % 2 = 1
 """)
 def q_rasterize(spark, d):
-    polygons = spark.createDataFrame([(k, [tuple(p) for p in ring]) for k, ring in TRIANGLES.items()], f"polygon_id int, ring {sp.RING}")
-    return gr.rasterize(polygons, gr.Grid(40, 48, (-30.07, 1.5, 0.0, 30.0, 0.0, -1.25)))
+    return gr.rasterize(supplier_rings(spark, d), gr.Grid(42, 50, (-20.07, 3.1, 0.0, 115.0, 0.0, -2.55)))
 
 
 _CELLS = CELLS.format(where="")
