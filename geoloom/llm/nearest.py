@@ -4,11 +4,11 @@ Either half of a vector is quantised by its own centroids, so an entry lies in o
 cells.  A query walks the cells in order of the summed distance of their two centroids, with a
 heap, until they hold enough entries; these are reranked by the exact distance.
 
-The index is a table of entries with their cells.  Queries become rows, one for each cell that
-they visit, and meet the entries of just these cells in a join by cell and salt: the salt deals a
-cell's entries over several tasks, so that a full cell is no one task's work.  A task computes
-distances of its cell's queries and entries only, in blocks, and keeps the nearest; the final
-order is taken over these.
+The index is a table of entries with their cells, and cells are dealt to groups.  Queries become
+rows, one for each group in which they visit cells, and meet its entries in a join by group and
+salt: the salt deals a group's entries over several tasks, so that a full cell is no one task's
+work.  A task computes, cell by cell, distances of the queries that visit the cell and of its
+entries only, in blocks, and keeps the k nearest of each query; the final order is taken over these.
 """
 
 from __future__ import annotations
@@ -22,13 +22,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import stage
+from .words import slices
 
 #: Centroids of each half; vectors they are fitted on at most.
 CENTROIDS, SAMPLE = 64, 20_000
 #: Share of all entries that a query's cells hold at least.
 SHARE = 0.5
-#: Entries of one salt of a cell, about; entries and queries of a distance matrix.
-SALTED, BLOCK = 20_000, 1024
+#: Groups of cells; entries of one salt of a group, about; entries and queries of a distance matrix.
+GROUPS, SALTED, BLOCK = 64, 20_000, 1024
 
 
 def k_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -80,15 +81,20 @@ def _assign(c1: np.ndarray, c2: np.ndarray, half: int):
 
 
 def _routes(c1: np.ndarray, c2: np.ndarray, half: int, counts: np.ndarray, enough: int):
-    """Queries -> the cells that each visits."""
+    """Queries -> a row for each group of cells, with the cells that the query visits there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cells = []
-            for v in _matrix(batch) if batch.num_rows else ():
-                found = visit(((c1 - v[:half]) ** 2).sum(axis=1), ((c2 - v[half:]) ** 2).sum(axis=1), counts, enough)
-                cells.append([c for c in found if counts[c]])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int32()))], names=["uid", "vec_id", "vector", "cells"])
+        for batch in slices(batches, 256):
+            of, groups, cells = [], [], []
+            for n, v in enumerate(_matrix(batch) if batch.num_rows else ()):
+                found = np.array(visit(((c1 - v[:half]) ** 2).sum(axis=1), ((c2 - v[half:]) ** 2).sum(axis=1), counts, enough))
+                found = found[counts[found] > 0]
+                for g in np.unique(found % GROUPS).tolist():
+                    of.append(n)
+                    groups.append(g)
+                    cells.append(found[found % GROUPS == g])
+            rows = batch.take(pa.array(of, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(groups, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], names=["uid", "vec_id", "vector", "group", "cells"])
 
     return run
 
@@ -119,18 +125,39 @@ def nearest_of(queries: tuple[np.ndarray, ...], entries: tuple[np.ndarray, ...],
 
 
 def _search(k: int):
-    """The queries and the entries of one salt of one cell -> for each query the k nearest of them."""
+    """The queries and the entries of one salt of one group of cells -> for each query the k nearest of its cells."""
 
     def run(left, right):
         if not left.num_rows or not right.num_rows:
             return pa.Table.from_pylist([], schema=_FOUND)
         side = lambda t: (t.column("uid").to_numpy(), t.column("vec_id").to_numpy(), np.asarray(t.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False), float).reshape(t.num_rows, -1))
-        columns = [np.concatenate(c) for c in zip(*nearest_of(side(left), side(right), k))]
-        return pa.Table.from_arrays([pa.array(c) for c in columns], schema=_FOUND)
+        queries, entries = side(left), side(right)
+        lists = left.column("cells").combine_chunks()
+        visitor, visited = np.repeat(np.arange(left.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
+        order = np.argsort(visited, kind="stable")
+        visitor, visited = visitor[order], visited[order]
+        cell = right.column("cell").to_numpy()
+        order = np.argsort(cell, kind="stable")
+        held, cuts = np.unique(cell[order], return_index=True)
+        found = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
+        for c, rows in zip(held, np.split(order, cuts[1:])):
+            q = visitor[np.searchsorted(visited, c, "left") : np.searchsorted(visited, c, "right")]
+            if len(q):
+                near = nearest_of(tuple(x[q] for x in queries), tuple(x[rows] for x in entries), k)
+                found = _first(k, *(np.concatenate(x) for x in zip(found, *near)))
+        return pa.Table.from_arrays([pa.array(c) for c in found], schema=_FOUND)
 
     return run
 
 
+def _first(k: int, uid: np.ndarray, query: np.ndarray, own: np.ndarray, score: np.ndarray) -> list[np.ndarray]:
+    """The k nearest of each query among the found."""
+    order = np.lexsort((own, score, uid))
+    uid = uid[order]
+    kept = order[np.arange(len(uid)) - np.searchsorted(uid, uid, "left") < k]
+    return [x[kept] for x in (uid[np.argsort(order)], query, own, score)]
+
+
 _FOUND = pa.schema([("uid", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -162,15 +189,18 @@ def nearest_neighbours(
     counts = np.zeros(len(c1) * len(c2), np.int64)
     for r in index.groupBy("cell").count().collect():  # at most centroids ** 2 rows
         counts[r.cell] = r["count"]
-    salts = -(-counts // SALTED)
+    salts = -(-np.bincount(np.arange(len(counts)) % GROUPS, counts, GROUPS).astype(np.int64) // SALTED)
     queries = index.where(F.col("vec_id") % every == 0).select("uid", "vec_id", "vector")
     enough = max(k + 1, int(np.ceil(share * counts.sum())))  # k candidates besides the query itself, if there are so many
-    routed = queries.mapInArrow(_routes(c1, c2, half, counts, enough), "uid long, vec_id long, vector array<double>, cells array<int>")
-    # at most centroids ** 2 rows of two numbers
-    of_cell = F.broadcast(spark.createDataFrame([(int(c), int(salts[c])) for c in np.flatnonzero(counts)], "cell int, salts int"))
-    visits = routed.select("uid", "vec_id", "vector", F.explode("cells").alias("cell")).join(of_cell, "cell")
-    visits = visits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    entries = index.join(of_cell, "cell").withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("salts")).cast("int")).select("uid", "vec_id", "vector", "cell", "salt")
-    near = visits.groupBy("cell", "salt").cogroup(entries.groupBy("cell", "salt")).applyInArrow(_search(k), "uid long, query_id long, vec_id long, score double")
+    routed = queries.mapInArrow(_routes(c1, c2, half, counts, enough), "uid long, vec_id long, vector array<double>, group int, cells array<int>")
+    # a row a group
+    of_group = F.broadcast(spark.createDataFrame([(int(g), int(salts[g])) for g in np.flatnonzero(salts)], "group int, salts int"))
+    # queries are dealt to turns: each meets every entry of its cells, so no task holds more of them than of entries
+    turns = max(1, -(-queries.count() // SALTED))
+    visits = routed.join(of_group, "group").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    visits = visits.withColumn("turn", F.pmod(F.xxhash64("uid", F.lit(1)), F.lit(turns)).cast("int"))
+    entries = index.withColumn("group", F.col("cell") % GROUPS).join(of_group, "group").withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("salts")).cast("int"))
+    entries = entries.select("uid", "vec_id", "vector", "cell", F.col("group").alias("of"), F.col("salt").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("again"))
+    near = visits.groupBy("group", "salt", "turn").cogroup(entries.groupBy("of", "part", "again")).applyInArrow(_search(k), "uid long, query_id long, vec_id long, score double")
     order = Window.partitionBy("uid").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -36,6 +36,15 @@ def test_visits_cells_by_summed_distance():
     assert few == cells[: len(few)] and counts[few].sum() >= 20 > counts[few[:-1]].sum()
 
 
+def test_neighbours_in_turns_and_salts_are_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [(int(i), [float(v) for v in x]) for i, x in enumerate(rng.normal(size=(1500, 8)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = sorted(map(tuple, nearest.nearest_neighbours(df, every=10).collect()))
+    monkeypatch.setattr(nearest, "SALTED", 40)
+    assert sorted(map(tuple, nearest.nearest_neighbours(df, every=10).collect())) == want
+
+
 def test_neighbours_recall_and_odd_rows(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(6000, 16))
