@@ -4,27 +4,36 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 # ---- numbers
 
 
 def ulam_xy(n: Column) -> tuple[Column, Column]:
-    """Place of n on the square spiral around (0, 0)."""
-    root = F.sqrt(n.cast("double"))
-    m = F.floor(root)
-    k = n - m * (m + 1)
-    even = F.floor(2 * root) % 2 == 0
-    sign = F.when(m % 2 == 0, 1).otherwise(-1)
-    half = F.ceil(m / 2)
-    x, y = F.when(even, k).otherwise(0) + half, F.when(even, 0).otherwise(k) - half
-    return (sign * x).cast("long"), (sign * y).cast("long")
+    """Place of n on the square spiral around (0, 0): 1 lies above 0, then it turns left.
+
+    Ring k holds (2 k - 1)^2 and the 8 k - 1 numbers behind it: 2 k of them leftward along its top, as
+    many down, rightward and up again.  In whole numbers; the root only proposes the ring.
+    """
+    n = n.cast("long")
+    guess = F.floor((F.sqrt(n.cast("double")) + 1) / 2).cast("long")
+    begins = lambda k: (2 * k - 1) * (2 * k - 1)
+    k = F.when(n == 0, F.lit(0).cast("long")).when(begins(guess) > n, guess - 1).when(begins(guess + 1) <= n, guess + 1).otherwise(guess)
+    step = n - begins(k)
+    top, left, bottom = step < 2 * k, step < 4 * k, step < 6 * k
+    x = F.when(n == 0, k).when(top, k - 1 - step).when(left, -k).when(bottom, step - 5 * k + 1).otherwise(k)
+    y = F.when(n == 0, k).when(top, k).when(left, 3 * k - 1 - step).when(bottom, -k).otherwise(step - 7 * k + 1)
+    return x.cast("long"), y.cast("long")
 
 
 def ulam_n(x: Column, y: Column) -> Column:
+    """The number at a place of the spiral: the first of its ring, and the steps along the ring's sides."""
+    x, y = x.cast("long"), y.cast("long")
     k = F.greatest(F.abs(x), F.abs(y))
-    return (4 * k * k + F.when(x < y, -1).otherwise(1) * (2 * k + x + y)).cast("long")
+    step = F.when((y == k) & (x < k), k - 1 - x).when((x == -k) & (y < k), 3 * k - 1 - y).when((y == -k) & (x > -k), 5 * k - 1 + x).otherwise(7 * k - 1 + y)
+    return F.when(k == 0, k).otherwise((2 * k - 1) * (2 * k - 1) + step).cast("long")
 
 
 def line_through_ends(xs: Column, ys: Column) -> Column:
@@ -58,11 +67,30 @@ def positive_rectangle(x0: Column, x1: Column, y0: Column, y1: Column) -> Column
 
 
 def checksum(*columns: Column) -> Column:
-    """MD5 over the values with their types, stable over runs."""
+    """MD5 over the values with their types, stable over runs; maps count with the order of their entries (see ``checksum_of``)."""
     typed = [x for i, c in enumerate(columns) for x in (F.typeof(c).alias(f"t{i}"), c.alias(f"c{i}"))]
     return F.md5(F.to_json(F.struct(*typed), {"ignoreNullFields": "false"}))
 
 
+def canonical(value: Column, kind: DataType) -> Column:
+    """A value whose maps, at any depth, are arrays of their entries in order of the keys."""
+    if isinstance(kind, MapType):
+        entry = lambda e: F.struct(e["key"].alias("key"), canonical(e["value"], kind.valueType).alias("value"))
+        return F.transform(F.array_sort(F.map_entries(value), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)), entry)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: canonical(x, kind.elementType))
+    if isinstance(kind, StructType):
+        fields = [canonical(value[f.name], f.dataType).alias(f.name) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*fields))
+    return value
+
+
+def checksum_of(df: DataFrame, *names: str) -> Column:
+    """MD5 over columns of ``df`` with their types; the order in which a map's entries were put in does not matter."""
+    typed = [x for n in names for x in (F.lit(df.schema[n].dataType.simpleString()).alias(f"type_{n}"), canonical(F.col(n), df.schema[n].dataType).alias(n))]
+    return F.md5(F.to_json(F.struct(*typed), {"ignoreNullFields": "false"}))
+
+
 def ellipse(a: float, b: float, e: float, n: float, points: int) -> Column:
     """Points on an ellipse around (e, n), clockwise from the right."""
     step = -2 * 3.141592653589793 / points

@@ -107,6 +107,11 @@ def lapse(cells: DataFrame, nx: int, ny: int, dx: float, dy: float) -> DataFrame
     return g.select("j", "i", F.sqrt(s2).alias("slope"), F.try_divide(F.col("T_x") * F.col("H_x") + F.col("T_y") * F.col("H_y"), s2).alias("lapse"))
 
 
+def first_difference(v: str, by: str, along: str) -> Column:
+    """The value less the one before it on its line; null at the first.  One line of the raster is one window."""
+    return F.col(v) - F.lag(v).over(Window.partitionBy(by).orderBy(along))
+
+
 def central_difference(v: str, by: str, along: str) -> Column:
     """Half the difference of the neighbours; at either end the difference to the one neighbour.
 

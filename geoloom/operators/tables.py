@@ -170,6 +170,15 @@ def where_all(df: DataFrame, attributes: dict) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in attributes.items()], F.lit(True)))
 
 
+def decode(df: DataFrame, codes: DataFrame, code: str, names: Sequence[str], of: str = "code") -> DataFrame:
+    """``df`` with the ``names`` (labels, colours) that a table of codes has for its column ``code``; null for others.
+
+    A code may stand once in ``codes``; more are a JoinError.
+    """
+    known = check_unique(codes.where(F.col(of).isNotNull()), [of]).select(F.col(of).alias("_code"), *names)
+    return df.join(known, F.col(code) == F.col("_code"), "left").drop("_code")
+
+
 def first_occurrences(df: DataFrame, value: str, order: str) -> DataFrame:
     """Distinct values with the place where each first stands."""
     return df.groupBy(value).agg(F.min(order).alias(order))

@@ -9,7 +9,7 @@ from ..functions import schemas as sc
 from ..operators import fill, lineage, polygons
 from ..operators import grid as gr
 from ..operators import raster as ra
-from ..sources import layers, mosaic
+from ..sources import files, layers, mosaic
 from ..staging import new_path
 from .raster_queries import _HOLES, NX, NY
 from .registry import query, table
@@ -257,6 +257,50 @@ def q_mosaic(spark, d):
     return mosaic.read_mosaic(spark, path, extent=(108.5, 151.5, 16.0, 40.0))[0]
 
 
+# ---- palettes, extents, traces
+
+
+@query("""
+WITH p AS (SELECT n_nationkey AS v, (n_nationkey * 37) % 256 AS a, (n_nationkey * 91 + 40) % 256 AS b FROM nation), e AS (SELECT min(v) AS lo, max(v) + 1 AS hi FROM p),
+k AS (SELECT k, lo + (hi - lo) * k / 39.0 AS x FROM e CROSS JOIN range(0, 30) t(k)), s AS (SELECT k, x, least(floor(round(x, 9)), hi - 1) AS v FROM k CROSS JOIN e)
+SELECT CAST(k AS INTEGER) AS k, round((a + (x - p.v) * (b - a)) / 255, 6) AS r, round((b + (x - p.v) * (a - b)) / 255, 6) AS g, round(a / 255, 6) AS b FROM s JOIN p ON p.v = s.v
+""")
+def q_discrete_colors(spark, d):
+    """The first 30 of 40 colours over a palette of a segment per nation."""
+    v = F.col("n_nationkey").cast("double")
+    a, b = (F.col("n_nationkey") * 37 % 256).cast("double"), ((F.col("n_nationkey") * 91 + 40) % 256).cast("double")
+    palette = table(spark, d, "nation").select(v.alias("v0"), (v + 1).alias("v1"), a.alias("r0"), b.alias("r1"), b.alias("g0"), a.alias("g1"), a.alias("b0"), a.alias("b1"))
+    return files.discrete_colors(palette, 40, 30).select("k", *[F.round(c, 6).alias(c) for c in "rgb"])
+
+
+@query("""
+WITH g AS (SELECT floor(min(c_acctbal) / 700) * 700 AS x0, max(c_acctbal) AS x, floor(max(c_custkey % 1000) / 90.0) * 90 AS y1, min(c_custkey % 1000) AS y FROM customer),
+b AS (SELECT x0, x0 + ceil((x - x0) / 700) * 700 AS x1, y1 - ceil((y1 - y) / 90.0) * 90 AS y0, y1 FROM g)
+SELECT k, CASE WHEN k IN (0, 3) THEN x0 ELSE x1 END AS x, CASE WHEN k IN (0, 1) THEN y0 ELSE y1 END AS y FROM b CROSS JOIN (VALUES (0), (1), (2), (3)) t(k)
+""")
+def q_extent_box(spark, d):
+    """The box around the grid of tiles that covers all customers, from its extent."""
+    y = F.col("c_custkey") % 1000
+    box = table(spark, d, "customer").agg(F.min("c_acctbal").alias("x0"), F.max("c_acctbal").alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
+    ring = gr.domain_grid(box.x0, box.x1, box.y0, box.y1, (700.0, 90.0)).box_ring()
+    return spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(ring)], "k int, x double, y double")
+
+
+@query("""
+SELECT strftime(o_orderdate, '%Y-%m-%d') AS date, k, round(o_custkey / 10.0 + k, 6) AS x, round(o_totalprice / 1000 - k, 6) AS y FROM orders CROSS JOIN (VALUES (0), (1), (2)) t(k)
+""")
+def q_geojson_traces(spark, d):
+    """A line per order through GeoJSON files, one a status, with its ISO date."""
+    point = lambda k: F.array(F.col("o_custkey") / 10.0 + k, F.col("o_totalprice") / 1000 - k)
+    geometry = F.struct(F.lit("LineString").alias("type"), F.array(*[point(k) for k in range(3)]).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).alias("properties"), geometry.alias("geometry"))
+    parts = table(spark, d, "orders").groupBy("o_orderstatus", F.pmod("o_orderkey", F.lit(16))).agg(F.collect_list(feature).alias("features"))
+    path = new_path(spark, "traces")
+    parts.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).repartition(parts.count()).write.option("maxRecordsPerFile", 1).text(path)
+    lines = files.geojson_traces(spark, path)
+    return lines.select(F.date_format("date", "yyyy-MM-dd").alias("date"), F.posexplode("line").alias("k", "p")).select("date", "k", F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+
+
 # ---- schemas
 
 _TYPED = {

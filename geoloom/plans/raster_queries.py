@@ -135,3 +135,9 @@ def q_spline_ma(spark, d):
     events = table(spark, d, "events")
     hours = (F.unix_seconds(F.col("ts").cast("timestamp")) / 3600.0).alias("x")
     return ra.spline_average(events.select("event_type", hours, F.col("value").alias("y")), "event_type", 6.0, 24.0)
+
+
+@query(f"SELECT j, i, v - lag(v) OVER (PARTITION BY j ORDER BY i) AS di, v - lag(v) OVER (PARTITION BY i ORDER BY j) AS dj FROM ({_CELLS})")
+def q_first_differences(spark, d):
+    cells = event_cells(spark, d)
+    return cells.select("j", "i", ra.first_difference("v", "j", "i").alias("di"), ra.first_difference("v", "i", "j").alias("dj"))

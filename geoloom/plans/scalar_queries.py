@@ -8,6 +8,7 @@ from ..functions import paths as pt
 from ..functions import timeunits as tu
 from ..functions import values as vl
 from ..operators import lineage as ln
+from ..operators import tables as tb
 from .registry import query, table
 
 
@@ -15,10 +16,14 @@ def _cust_xy():
     return vl.ulam_xy(F.col("c_custkey"))
 
 
+#: The spiral, walked leg by leg: up, left, down, right, two legs of each length.
 _ULAM = """
-WITH t AS (SELECT c_custkey AS n, CAST(floor(sqrt(c_custkey)) AS BIGINT) AS m, CAST(floor(2 * sqrt(c_custkey)) AS BIGINT) % 2 = 0 AS even FROM customer),
-u AS (SELECT n, CASE WHEN m % 2 = 0 THEN 1 ELSE -1 END AS s, (m + 1) // 2 AS h, n - m * (m + 1) AS k, even FROM t),
-xy AS (SELECT n, s * (CASE WHEN even THEN k ELSE 0 END + h) AS x, s * (CASE WHEN even THEN 0 ELSE k END - h) AS y FROM u)
+WITH RECURSIVE leg AS (SELECT 1 AS q, 0 AS n, 0 AS x, 0 AS y UNION ALL
+  SELECT q + 1, n + (q + 1) // 2, x + (CASE q % 4 WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END) * ((q + 1) // 2), y + (CASE q % 4 WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END) * ((q + 1) // 2)
+  FROM leg WHERE n <= (SELECT max(c_custkey) FROM customer)),
+w AS (SELECT 0 AS n, 0 AS x, 0 AS y UNION ALL SELECT n + s, x + s * (CASE q % 4 WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END), y + s * (CASE q % 4 WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END)
+  FROM leg, unnest(range(1, (q + 1) // 2 + 1)) t(s)),
+xy AS (SELECT w.n, x, y FROM w JOIN customer ON c_custkey = w.n)
 """
 
 
@@ -180,10 +185,46 @@ def q_regex_listing(spark, d):
     return table(spark, d, "pages").where(F.col("url").rlike("^https?://([^/]+)")).select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size <= 10 THEN 'small' WHEN p_size <= 30 THEN 'middle' ELSE NULL END AS label FROM part")
+@query("""
+SELECT c_custkey, n_name AS label, CAST((n_nationkey * 37) % 256 AS DOUBLE) AS r FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) ON c_nationkey = n_nationkey
+""")
 def q_lookup_codes(spark, d):
-    codes = spark.range(1, 31).select(F.col("id").cast("int").alias("p_size"), F.when(F.col("id") <= 10, "small").otherwise("middle").alias("label"))
-    return table(spark, d, "part").join(F.broadcast(codes), "p_size", "left").select("p_partkey", "label")  # 30 rows
+    """Customers' nation codes as labels and colours; the codes of one region are not known."""
+    codes = table(spark, d, "nation").where("n_regionkey <> 2").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("label"), (F.col("n_nationkey") * 37 % 256).cast("double").alias("r"))
+    return tb.decode(table(spark, d, "customer"), codes, "c_nationkey", ["label", "r"]).select("c_custkey", "label", "r")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem JOIN (SELECT l_orderkey AS k, l_linenumber AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1) ON k = l_orderkey AND n = l_linenumber")
+def q_offending_rows(spark, d):
+    """The rows that break the uniqueness of a key, as the error that tells of them holds them."""
+    lines = table(spark, d, "lineitem")
+    try:
+        return tb.check_unique(lines, ["l_orderkey", "l_linenumber"]).limit(0).select("l_orderkey", "l_linenumber", "l_partkey")
+    except tb.JoinError as e:
+        return e.rows.select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN v >= 1073741824 THEN printf('%.1fGB/s', v / 1073741824) WHEN v >= 1048576 THEN printf('%.1fMB/s', v / 1048576)
+  WHEN v >= 1024 THEN printf('%.1fkB/s', v / 1024) ELSE printf('%.1fB/s', v) END AS speed FROM (SELECT o_orderkey, o_totalprice * (o_orderkey % 5) * (o_orderkey % 11) * 37 / 7 AS v FROM orders)
+""")
+def q_human_speed(spark, d):
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select("o_orderkey", pt.human_speed(F.col("o_totalprice") * (k % 5) * (k % 11) * 37 / 7).alias("speed"))
+
+
+@query("SELECT event_id, true AS same, k % 7 = 0 AS like_seven FROM (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)")
+def q_checksum(spark, d):
+    """Checksums of maps with the same entries in two orders, and of one whose value may differ."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    pair = lambda key, v: F.struct(F.lit(key).alias("key"), v.alias("value"))
+    maps = table(spark, d, "events").select(
+        "event_id", *[F.map_from_entries(F.array(*e)).alias(n) for n, e in (("a", (pair("x", k), pair("y", k % 7))), ("b", (pair("y", k % 7), pair("x", k))), ("c", (pair("x", k), pair("y", F.lit(0).cast("long")))))]
+    )
+    sums = {n: vl.checksum_of(maps.withColumnRenamed(n, "m"), "m") for n in "abc"}
+    each = [maps.withColumnRenamed(n, "m").select("event_id", sums[n].alias(n)) for n in "abc"]
+    joined = each[0].join(each[1], "event_id").join(each[2], "event_id")
+    return joined.select("event_id", (F.col("a") == F.col("b")).alias("same"), (F.col("a") == F.col("c")).alias("like_seven"))
 
 
 @query("""

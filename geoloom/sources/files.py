@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.values import hsv_to_rgb
 from ..operators.grid import Grid
 
 _FEATURE = "type string, properties map<string,string>, geometry struct<type:string,coordinates:string>"
@@ -43,12 +44,20 @@ def geojson_traces(spark: SparkSession, path: str, project=None) -> DataFrame:
 
 
 def read_palette(spark: SparkSession, path: str, reverse: bool = False, scale: float = 1.0) -> DataFrame:
-    """Lines of eight numbers ``v0 a b c v1 a b c`` as (position, v0, r0, g0, b0, v1, r1, g1, b1)."""
+    """Lines of eight numbers ``v0 a b c v1 a b c`` as (v0, r0, g0, b0, v1, r1, g1, b1), by v0.
+
+    A line ``# COLOR_MODEL = HSV`` says that colours are hue, saturation and value; they become red, green and blue.
+    """
     number = r"\s*(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"
     pattern = "^" + number * 8 + r"\s*$"
     names = ["v0", "r0", "g0", "b0", "v1", "r1", "g1", "b1"]
-    lines = spark.read.text(path).where(F.col("value").rlike(pattern))
+    text = spark.read.text(path)
+    hsv = not text.where(F.col("value").rlike(r"^#\s*COLOR_MODEL\s*=\s*HSV\s*$")).isEmpty()
+    lines = text.where(F.col("value").rlike(pattern))
     rows = lines.select(*[F.regexp_extract("value", pattern, k + 1).cast("double").alias(n) for k, n in enumerate(names)])
+    if hsv:
+        colour = {k: hsv_to_rgb(F.col(f"r{k}"), F.col(f"g{k}"), F.col(f"b{k}")) for k in "01"}
+        rows = rows.select("v0", "v1", *[c[x].cast("double").alias(f"{x}{k}") for k, c in colour.items() for x in "rgb"]).select(*names)
     rows = rows.withColumns({"v0": F.col("v0") * scale, "v1": F.col("v1") * scale})
     if reverse:
         ends = rows.agg(F.min("v0").alias("lo"), F.max("v1").alias("hi"))
@@ -59,6 +68,23 @@ def read_palette(spark: SparkSession, path: str, reverse: bool = False, scale: f
     return rows.orderBy("v0")
 
 
+def discrete_colors(palette: DataFrame, n: int, keep: int | None = None) -> DataFrame:
+    """The first ``keep`` of ``n`` colours evenly spaced over a palette: (k, r, g, b), components in 0..1.
+
+    A segment of the palette lists the numbers that fall into it, and mixes its two colours there; where two
+    segments meet, the upper one counts.
+    """
+    ends = palette.agg(F.min("v0").alias("lo"), F.max("v1").alias("hi"))
+    steps = max(n - 1, 1)
+    placed = palette.join(F.broadcast(ends))  # one row
+    at = lambda v: (F.col(v) - F.col("lo")) / (F.col("hi") - F.col("lo")) * steps
+    first, last = F.ceil(F.round(at("v0"), 9)), F.least(F.floor(F.round(at("v1"), 9)), F.lit((keep or n) - 1))
+    listed = placed.where(first <= last).select("v0", at("v0").alias("_a"), at("v1").alias("_b"), *[f"{c}{k}" for c in "rgb" for k in "01"], F.explode(F.sequence(first, last)).alias("k"))
+    share = F.coalesce(F.try_divide(F.col("k") - F.col("_a"), F.col("_b") - F.col("_a")), F.lit(0.0))
+    mixed = F.struct(*[((F.col(f"{c}0") + share * (F.col(f"{c}1") - F.col(f"{c}0"))) / 255).alias(c) for c in "rgb"])
+    return listed.groupBy(F.col("k").cast("int").alias("k")).agg(F.max_by(mixed, "v0").alias("_c")).select("k", "_c.*")
+
+
 def write_raster(cells: DataFrame, grid: Grid, path: str, nodata: float | None = None) -> None:
     """(j, i, v) as Parquet with the grid in the column's metadata; nulls as nodata if one is given."""
     v = F.coalesce("v", F.lit(nodata)) if nodata is not None else F.col("v")

@@ -185,3 +185,23 @@ def test_colours_round_trip(spark):
     hsv = spark.range(1).select(values.rgb_to_hsv(F.lit(200), F.lit(40), F.lit(90)).alias("c")).select("c.*")
     rgb = hsv.select(values.hsv_to_rgb(F.col("h"), F.col("s"), F.col("v")).alias("c")).select("c.*").first()
     assert all(abs(a - b) <= 1 for a, b in zip(rgb, (200, 40, 90)))
+
+
+def test_spiral_walks_and_comes_back(spark):
+    n = spark.range(2000)
+    x, y = values.ulam_xy(F.col("id"))
+    rows = n.select("id", x.alias("x"), y.alias("y")).select("*", values.ulam_n(F.col("x"), F.col("y")).alias("n")).orderBy("id").collect()
+    assert all(r.id == r.n for r in rows) and [(r.x, r.y) for r in rows[:10]] == [(0, 0), (0, 1), (-1, 1), (-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (1, 2)]
+    assert all(abs(a.x - b.x) + abs(a.y - b.y) == 1 for a, b in zip(rows, rows[1:]))
+    far = spark.createDataFrame([(k,) for k in (2**52 + 1, 2**60 + 12345, (2 * 10**9 + 1) ** 2, (2 * 10**9 + 1) ** 2 - 1)], "id long")
+    x, y = values.ulam_xy(F.col("id"))
+    assert all(r.id == r.n for r in far.select("id", values.ulam_n(x, y).alias("n")).collect())
+
+
+def test_checksum_of_maps_in_any_order(spark):
+    kind = "struct<m:map<string,map<int,array<double>>>,s:string>"
+    one, two = {"a": {1: [1.0], 2: None}, "b": {}}, {"b": {}, "a": {2: None, 1: [1.0]}}
+    rows = [((one, "x"),), ((two, "x"),), ((one, "y"),), (({"a": {1: [1.5], 2: None}, "b": {}}, "x"),), ((None, "x"),), (None,)]
+    df = spark.createDataFrame(rows, f"v {kind}")
+    sums = [r[0] for r in df.coalesce(1).select(values.checksum_of(df, "v")).collect()]
+    assert sums[0] == sums[1] and len(set(sums)) == 5

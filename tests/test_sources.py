@@ -42,6 +42,16 @@ def test_palette(spark, tmp_path):
     assert back == [(0, 7, 8, 9, 1.5, 4, 5, 6), (1.5, 4, 5, 6, 2.5, 1, 2, 3)]
 
 
+def test_hsv_palette_and_discrete_colours(spark, tmp_path):
+    (tmp_path / "h.cpt").write_text("# COLOR_MODEL = HSV\n0 0 1 1 1 120 1 1\n1 120 1 1 3 240 0.5 1\n")
+    palette = files.read_palette(spark, str(tmp_path / "h.cpt"), scale=2.0)
+    assert [tuple(r) for r in palette.collect()] == [(0, 255, 0, 0, 2, 0, 255, 0), (2, 0, 255, 0, 6, 127, 127, 255)]
+    colours = [tuple(r) for r in files.discrete_colors(palette, 4).orderBy("k").collect()]
+    assert [c[0] for c in colours] == [0, 1, 2, 3] and colours[0][1:] == (1, 0, 0) and colours[1][1:] == (0, 1, 0)
+    assert colours[3][1:] == (127 / 255, 127 / 255, 1) and colours[2][3] == 0.5
+    assert files.discrete_colors(palette, 4, keep=2).count() == 2 and files.discrete_colors(palette, 1).first().r == 1
+
+
 def test_raster_file(spark, tmp_path):
     g = Grid(2, 1, (0.0, 1.0, 0.0, 0.0, 0.0, 1.0), "WKT")
     cells = spark.createDataFrame([(0, 0, 1.5), (0, 1, None)], "j int, i int, v double")
