@@ -1,7 +1,7 @@
 """Tables that a job writes into the shared folder and reads again.
 
-The folder is the one named by ``spark.checkpoint.dir``; where that is unset, one in the
-warehouse, which executors share as well.  A staged table cuts the lineage, survives the loss
+The folder is the one named by ``spark.checkpoint.dir``; where that is unset, a local master takes
+one in the warehouse, and any other is an error.  A staged table cuts the lineage, survives the loss
 of executors, and is compressed and columnar.  Staged tables go when the application ends;
 ``drop`` removes one that is no longer read.
 """
@@ -17,7 +17,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this application."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        # the warehouse is the other folder that all executors share
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
