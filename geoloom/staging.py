@@ -1,7 +1,7 @@
 """Tables that a job writes into the folder all executors share, and reads again.
 
-The folder is the one named by ``spark.checkpoint.dir``; where that is unset, one in the
-warehouse.  A staged table cuts the lineage and survives the loss of executors.  Staged tables
+The folder is the one named by ``spark.checkpoint.dir``; where that is unset, a local master takes
+one in the warehouse, and any other is an error.  A staged table cuts the lineage and survives the loss of executors.  Staged tables
 go when the application ends; ``drop`` removes one that is no longer read.
 """
 
@@ -19,7 +19,11 @@ def _file_system(spark: SparkSession, path: str):
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; deleted when the application ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_staging"
     path = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
     fs, at = _file_system(spark, path)
     fs.deleteOnExit(at)
