@@ -17,7 +17,7 @@ import pyarrow as pa
 from .words import slices, texts
 
 #: Words that a process remembers as recent; past it, these become the older ones and the older go.
-MAX_WORDS = 250_000
+MAX_WORDS = 400_000
 #: A special token of the vocabulary, used between words that are encoded in one call.
 BETWEEN, MARK = "<|endoftext|>", b"<|"
 
