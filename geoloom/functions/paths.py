@@ -63,9 +63,20 @@ def partial_format(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
+def _tenths(v: Column) -> Column:
+    """A double rounded to one digit as C's printf does: by its exact binary value, ties to the even digit.
+
+    Spark's format_string rounds the shortest decimal half up instead (0.25 to 0.3, 0.15 to 0.2).  Ten times
+    the value may only be rounded to a tie, not across one; by what is told from its two halves, exactly.
+    """
+    times, high = v * 10, v.cast("float").cast("double")
+    off = F.signum((high * 10 - times) + (v - high) * 10)
+    near = F.rint(F.when(F.abs(times % 1) == 0.5, times + 0.25 * off).otherwise(times)) / 10
+    return F.when(F.abs(v) < 2.0**49, near).otherwise(v)
+
+
 def human_speed(bytes_per_second: Column) -> Column:
-    """Bytes per second with a unit of k, M or G."""
+    """Bytes per second with a unit of k, M or G, rounded as printf rounds."""
     v = bytes_per_second
-    return F.when(v >= 1024**3, F.format_string("%.1fGB/s", v / 1024**3)).when(v >= 1024**2, F.format_string("%.1fMB/s", v / 1024**2)).when(
-        v >= 1024, F.format_string("%.1fkB/s", v / 1024)
-    ).otherwise(F.format_string("%.1fB/s", v.cast("double")))
+    shown = lambda unit, x: F.format_string(f"%.1f{unit}", _tenths(x.cast("double")))
+    return F.when(v >= 1024**3, shown("GB/s", v / 1024**3)).when(v >= 1024**2, shown("MB/s", v / 1024**2)).when(v >= 1024, shown("kB/s", v / 1024)).otherwise(shown("B/s", v))

@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from geoloom.functions import projections, timeunits, values
+from geoloom.functions import paths, projections, timeunits, values
 from geoloom.operators import grid as gr
 from geoloom.operators import matrix as mx
 from geoloom.operators import raster as ra
@@ -205,3 +205,14 @@ def test_checksum_of_maps_in_any_order(spark):
     df = spark.createDataFrame(rows, f"v {kind}")
     sums = [r[0] for r in df.coalesce(1).select(values.checksum_of(df, "v")).collect()]
     assert sums[0] == sums[1] and len(set(sums)) == 5
+
+
+def test_speeds_are_rounded_by_their_binary_value(spark):
+    ties = [0.25, 0.75, 0.15, 0.35, 1.45, -0.25, -0.04, -0.0, 1023.95, 5e-324, 700.05]
+    just = [math.nextafter(k / 20, way) for k in range(1, 200, 2) for way in (-1, 1e9)]
+    plain = [*ties, *just, *[k / 40 for k in range(400)]]
+    large = [(v * 1024**k, f"{v:.1f}{unit}") for k, unit in ((1, "kB/s"), (2, "MB/s"), (3, "GB/s")) for v in (1.25, 7.0625, 2.75, 9.35)]
+    want = [(v, f"{v:.1f}B/s") for v in plain] + large
+    rows = spark.createDataFrame(list(enumerate(v for v, _ in want)), "k int, v double")
+    got = rows.select("k", paths.human_speed(F.col("v")).alias("s")).orderBy("k").collect()
+    assert [r.s for r in got] == [s for _, s in want]
