@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ranking import running_total
@@ -21,8 +21,8 @@ def _edges(ring: Column) -> Column:
     return F.arrays_zip(ring.alias("a"), turned.alias("b"))
 
 
-def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Whether the point lies inside the ring or on it; a null ring holds nothing."""
+def crossings(x: Column, y: Column, ring: Column) -> Column:
+    """How many edges of a ring the ray from the point to the right crosses; lower ends of edges count, upper ones do not."""
 
     def crossing(e: Column) -> Column:
         a, b = e["a"], e["b"]
@@ -30,15 +30,19 @@ def in_ring(x: Column, y: Column, ring: Column) -> Column:
         at = a["x"] + (y - a["y"]) * (b["x"] - a["x"]) / F.when(b["y"] == a["y"], F.lit(1.0)).otherwise(b["y"] - a["y"])
         return F.when(spans & (x < at), 1).otherwise(0)
 
+    return F.aggregate(_edges(ring), F.lit(0), lambda n, e: n + crossing(e))
+
+
+def in_ring(x: Column, y: Column, ring: Column) -> Column:
+    """Whether the point lies inside the ring or on it; a null ring holds nothing."""
+
     def on(e: Column) -> Column:
         a, b = e["a"], e["b"]
         cross = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
         within = x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
         return (cross == 0) & within
 
-    edges = _edges(ring)
-    odd = F.aggregate(edges, F.lit(0), lambda n, e: n + crossing(e)) % 2 == 1
-    return F.coalesce(odd | F.exists(edges, on), F.lit(False))
+    return F.coalesce((crossings(x, y, ring) % 2 == 1) | F.exists(_edges(ring), on), F.lit(False))
 
 
 def bbox(ring: Column) -> dict[str, Column]:
@@ -51,18 +55,33 @@ def _bins(lo: Column, hi: Column, size: float) -> Column:
     return F.sequence(F.floor(lo / size), F.floor(hi / size))
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float, x: str = "x", y: str = "y") -> DataFrame:
+#: Least number of parts that a join by cells is dealt to.
+PARTS = 64
+
+
+def parts_of(spark: SparkSession) -> int:
+    """How many parts work is dealt to whose size the bytes of its input do not tell: a number given to
+    ``repartition`` is kept by adaptive execution, which else makes one task of many small rows."""
+    return max(PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float | tuple[float, float], x: str = "x", y: str = "y") -> DataFrame:
     """Pairs of points(x, y, ...) and boxes(x0, x1, y0, y1, ...) whose box holds the point, edges included.
 
-    Each box is listed under the grid cells it touches, each point under its one cell.
+    Each box is listed under the grid cells it touches, each point under its one cell; ``cell`` is their
+    size, or their width and height.  Pairs can be many more than the rows of either side, so both are dealt
+    by cell to a number of parts that adaptive execution does not join again.
     """
-    listed = boxes.withColumn("_ci", F.explode(_bins(F.col("x0"), F.col("x1"), cell))).withColumn("_cj", F.explode(_bins(F.col("y0"), F.col("y1"), cell)))
-    placed = points.withColumns({"_ci": F.floor(F.col(x) / cell), "_cj": F.floor(F.col(y) / cell)})
+    w, h = cell if isinstance(cell, tuple) else (cell, cell)
+    n = parts_of(points.sparkSession)
+    listed = boxes.withColumn("_ci", F.explode(_bins(F.col("x0"), F.col("x1"), w))).withColumn("_cj", F.explode(_bins(F.col("y0"), F.col("y1"), h)))
+    placed = points.withColumns({"_ci": F.floor(F.col(x) / w), "_cj": F.floor(F.col(y) / h)})
     inside = F.col(x).between(F.col("x0"), F.col("x1")) & F.col(y).between(F.col("y0"), F.col("y1"))
+    placed, listed = (df.repartition(n, "_ci", "_cj") for df in (placed, listed))
     return placed.join(listed, ["_ci", "_cj"]).where(inside).drop("_ci", "_cj")
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, ring: str = "ring", x: str = "x", y: str = "y") -> DataFrame:
+def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float | tuple[float, float], ring: str = "ring", x: str = "x", y: str = "y") -> DataFrame:
     """Pairs of points and polygons(ring, ...): bounding boxes by grid cells, then the ray test, edges included."""
     boxes = polygons.where(F.col(ring).isNotNull()).withColumns(bbox(F.col(ring)))
     pairs = points_in_boxes(points, boxes, cell, x, y)

@@ -216,3 +216,14 @@ def test_speeds_are_rounded_by_their_binary_value(spark):
     rows = spark.createDataFrame(list(enumerate(v for v, _ in want)), "k int, v double")
     got = rows.select("k", paths.human_speed(F.col("v")).alias("s")).orderBy("k").collect()
     assert [r.s for r in got] == [s for _, s in want]
+
+
+def test_many_pairs_of_few_rows_are_many_tasks(spark):
+    points = spark.range(600).select("id", (F.col("id") * 7 % 100).cast("double").alias("x"), (F.col("id") * 13 % 90).cast("double").alias("y"))
+    x0, y0 = (F.col("id") * 11 % 80).cast("double"), (F.col("id") * 5 % 70).cast("double")
+    boxes = spark.range(200).select(F.col("id").alias("box"), x0.alias("x0"), (x0 + 60).alias("x1"), y0.alias("y0"), (y0 + 8).alias("y1"))
+    got = sp.points_in_boxes(points, boxes, (10.0, 4.0)).select("id", "box", F.spark_partition_id().alias("part")).collect()
+    inside = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    assert sorted((r.id, r.box) for r in got) == sorted(map(tuple, points.join(boxes, inside).select("id", "box").collect()))
+    parts = [r.part for r in got]
+    assert len(set(parts)) > 30 and max(map(parts.count, set(parts))) < len(parts) / 8
