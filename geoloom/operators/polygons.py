@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..staging import stage
-from .spatial import _edges, bbox, in_ring, points_in_boxes
+from .spatial import _edges, bbox, crossings, in_ring, points_in_boxes
 
 #: array<struct<shell, holes>> of open rings.
 POLYGONS = "array<struct<shell:array<struct<x:double,y:double>>,holes:array<array<struct<x:double,y:double>>>>>"
@@ -80,6 +80,12 @@ def in_polygon(x: Column, y: Column, polygon: Column) -> Column:
     return in_ring(x, y, polygon["shell"]) & ~F.exists(polygon["holes"], strictly_in)
 
 
+def in_polygon_by_ray(x: Column, y: Column, polygon: Column) -> Column:
+    """Whether the ray from a point to the right crosses the rings of a struct<shell, holes> an odd number of times."""
+    holes = F.aggregate(polygon["holes"], F.lit(0), lambda n, h: n + crossings(x, y, h))
+    return (crossings(x, y, polygon["shell"]) + holes) % 2 == 1
+
+
 def _on(x: Column, y: Column, a: Column, b: Column) -> Column:
     cross = (b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"])
     return (cross == 0) & x.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & y.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
@@ -101,10 +107,26 @@ def exteriors(layer: DataFrame, parts: str = "parts", outer: str = "clockwise")
     return exploded(layer.select(parts), parts, outer).select("part", F.col("polygon.shell").alias("ring"))
 
 
-def points_in_parts(points: DataFrame, layer: DataFrame, cell: float, parts: str = "parts", outer: str = "clockwise", x: str = "x", y: str = "y") -> DataFrame:
+def points_in_parts(
+    points: DataFrame, layer: DataFrame, cell: float | tuple[float, float], parts: str = "parts", outer: str = "clockwise",
+    x: str = "x", y: str = "y", origin: tuple[str, str] | None = None, border: bool = True,
+) -> DataFrame:
     """Pairs of points and polygons of a layer, holes left out: polygons are listed by the cells of their shell's
-    box under a number only, points meet boxes by cell, and the rings come back by that number."""
+    box under a number only, points meet boxes by cell, and the rings come back by that number.
+
+    ``origin`` names columns of the layer from which its rings are measured: points are moved there for the
+    exact test, as moved rings would lose digits.  Without ``border`` a point on an edge counts by the ray to
+    the right alone, so that of polygons side by side just one holds it.
+    """
     polygons = stage(exploded(layer, parts, outer).withColumn("_polygon", F.monotonically_increasing_id()), "polygons")
-    box = polygons.select("_polygon", *[c.alias(n) for n, c in bbox(F.col("polygon.shell")).items()])
+    ox, oy = (F.col(c) for c in origin) if origin else (F.lit(0.0), F.lit(0.0))
+    box = bbox(F.col("polygon.shell"))
+    if origin:  # a box that is moved is a little wider than its rounding
+        for c, o in (("x", ox), ("y", oy)):
+            lo, hi = box[f"{c}0"] + o, box[f"{c}1"] + o
+            slack = (F.abs(o) + F.greatest(F.abs(box[f"{c}0"]), F.abs(box[f"{c}1"]))) * 1e-12
+            box[f"{c}0"], box[f"{c}1"] = lo - slack, hi + slack
+    box = polygons.select("_polygon", *[c.alias(n) for n, c in box.items()])
     near = points_in_boxes(points, box, cell, x, y).drop("x0", "x1", "y0", "y1")
-    return near.join(polygons, "_polygon").where(in_polygon(F.col(x), F.col(y), F.col("polygon"))).drop("_polygon")
+    held = in_polygon if border else in_polygon_by_ray
+    return near.join(polygons, "_polygon").where(held(F.col(x) - ox, F.col(y) - oy, F.col("polygon"))).drop("_polygon")

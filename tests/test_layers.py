@@ -13,6 +13,7 @@ from geoloom.functions import projections as pj
 from geoloom.operators import fill, polygons
 from geoloom.operators import grid as gr
 from geoloom.operators import raster as ra
+from geoloom.operators.spatial import RING
 from geoloom.plans.layer_queries import LONLAT_WKT, NORTH_WKT
 from geoloom.sources import layers, mosaic
 from geoloom.sources.shapefile import SHAPE, ShapefileSource, places_of
@@ -259,3 +260,19 @@ def test_layers_move_between_systems(spark, tmp_path):
     plain = layers.read_layer(spark, str(tmp_path / "a.shp"))
     assert layers.reprojected(plain, None, NORTH_WKT) is plain and layers.reprojected(plain, LONLAT_WKT, LONLAT_WKT) is plain
     assert layers.region_of(plain).count() == 6
+
+
+def test_points_on_edges_by_the_ray_and_from_an_origin(spark):
+    square = [(-300.0, -40.0), (-300.0, 40.0), (300.0, 40.0), (300.0, -40.0)]
+    hole = [(0.0, -30.0), (200.0, 0.0), (0.0, 30.0), (-200.0, 0.0)]
+    layer = spark.createDataFrame([(k, ox, 0.0, [square, hole]) for k, ox in enumerate((0.0, 1.1, 8123.47))], f"id int, ox double, oy double, parts array<{RING}>")
+    local = [(-300.0, 7.0), (300.0, 7.0), (300.0, -40.0), (0.0, -30.0), (200.0, 0.0), (-200.0, 0.0), (250.0, 40.0), (250.0, -40.0), (299.0, 1.0)]
+    points = spark.createDataFrame([(k, n, ox + x, y) for k, ox in enumerate((0.0, 1.1, 8123.47)) for n, (x, y) in enumerate(local)], "k int, n int, x double, y double")
+    found = polygons.points_in_parts(points, layer, (100.0, 20.0), origin=("ox", "oy"), border=False).where("k = id")
+    got = {(r.k, r.n) for r in found.collect()}
+
+    def odd(x, y):
+        edges = [(a, b) for ring in (square, hole) for a, b in zip(ring, ring[1:] + ring[:1])]
+        return sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for a, b in edges) % 2 == 1
+
+    assert got == {(k, n) for k, ox in enumerate((0.0, 1.1, 8123.47)) for n, (x, y) in enumerate(local) if odd(ox + x - ox, y)}
