@@ -53,9 +53,10 @@ class Grid:
         return min(xs), max(xs), min(ys), max(ys)
 
     def to_ij(self, x: Column, y: Column) -> tuple[Column, Column]:
-        """The cell that holds a point (floor)."""
+        """The cell that holds a point (floor); of a north-up grid i is known without y, and j without x."""
         v = invert_geotransform(self.gt)
-        return F.floor(v[0] + x * v[1] + y * v[2]).cast("int"), F.floor(v[3] + x * v[4] + y * v[5]).cast("int")
+        at = lambda o, a, b: o + x * a + y * b if a and b else o + (x * a if a else y * b)
+        return F.floor(at(*v[:3])).cast("int"), F.floor(at(*v[3:])).cast("int")
 
     def to_xy(self, i: Column, j: Column, center: bool = True) -> tuple[Column, Column]:
         """The centre or the corner of a cell."""
@@ -110,10 +111,15 @@ def tiles(spark: SparkSession, grid: Grid, margin: tuple[float, float] = (0.0, 0
     )
 
 
-def tiles_hit(points: DataFrame, grid: Grid, x: str = "x", y: str = "y") -> DataFrame:
-    """Tiles that hold points, with their number: the tile is computed, not searched."""
+def tiles_hit(points: DataFrame, grid: Grid, x: str = "x", y: str = "y", beyond: bool = False) -> DataFrame:
+    """Tiles that hold points, with their number: the tile is computed, not searched.
+
+    With ``beyond``, points outside the grid count in the tiles that go on there (numbers below 0 or from nx
+    and ny on), and those without a coordinate in null ones.
+    """
     i, j = grid.to_ij(F.col(x), F.col(y))
-    placed = points.select(i.alias("idom"), j.alias("jdom")).where(grid.inside(F.col("idom"), F.col("jdom")))
+    placed = points.select(i.alias("idom"), j.alias("jdom"))
+    placed = placed if beyond else placed.where(grid.inside(F.col("idom"), F.col("jdom")))
     return placed.groupBy("idom", "jdom").agg(F.count("*").alias("n"))
 
 

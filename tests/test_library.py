@@ -12,8 +12,10 @@ from geoloom.functions import paths, projections, timeunits, values
 from geoloom.operators import grid as gr
 from geoloom.operators import matrix as mx
 from geoloom.operators import raster as ra
+from geoloom.operators import shapes as sh
 from geoloom.operators import spatial as sp
 from geoloom.operators import tables as tb
+from geoloom.plans.catalog import QUERIES
 
 
 def entries(df):
@@ -227,3 +229,10 @@ def test_many_pairs_of_few_rows_are_many_tasks(spark):
     assert sorted((r.id, r.box) for r in got) == sorted(map(tuple, points.join(boxes, inside).select("id", "box").collect()))
     parts = [r.part for r in got]
     assert len(set(parts)) > 30 and max(map(parts.count, set(parts))) < len(parts) / 8
+
+
+def test_tiles_beyond_the_domain_count(spark, tmp_path):
+    rows = [(1, -2000.0), (2, 10499.995), (3, 12001.0), (4, 50.0), (1000, 50.0), (5, None)]
+    spark.createDataFrame(rows, "c_custkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    got = {(r.idom, r.jdom): r.n for r in QUERIES["q_domain_tiles"](spark, str(tmp_path)).collect()}
+    assert got == {(-1, 4): 1, (7, 4): 1, (9, 4): 1, (1, 4): 2, (None, 4): 1}
