@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.crs import wkt_of
 from ..functions.projections import Projection
-from .spatial import bbox, in_ring
+from .spatial import bbox, in_ring, parts_of
 
 
 def invert_geotransform(gt: tuple[float, ...]) -> tuple[float, ...]:
@@ -129,6 +129,7 @@ def rasterize(polygons: DataFrame, grid: Grid, ring: str = "ring") -> DataFrame:
     Candidates are the cells of the polygon's bounding box, clipped to the grid.
     """
     box = bbox(F.col(ring))
+    polygons = polygons.repartition(parts_of(polygons.sparkSession))  # few bytes may have many cells
     df = polygons.where(F.col(ring).isNotNull()).withColumns({f"_{k}": v for k, v in box.items()})
     ia, ja = grid.to_ij(F.col("_x0"), F.col("_y0"))
     ib, jb = grid.to_ij(F.col("_x1"), F.col("_y1"))

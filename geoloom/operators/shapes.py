@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grid import Grid, rasterize
-from .spatial import bbox, line_meets_ring
+from .spatial import bbox, line_meets_ring, parts_of
 
 # ---- vectors: structs of x and y
 
@@ -180,8 +180,10 @@ def tiles_meeting(polygons: DataFrame, grid: Grid, ring: str = "ring", margin: t
     """Pairs of a polygon (without its ring) and a tile (idom, jdom, x0, x1, y0, y1) that share a point.
 
     Candidates are the tiles of the polygon's bounding box; the box given back is widened by the margin.
+    Few bytes of polygons may meet many tiles, so they are dealt to many tasks before.
     """
     box = bbox(F.col(ring))
+    polygons = polygons.repartition(parts_of(polygons.sparkSession))
     df = polygons.where(F.col(ring).isNotNull()).withColumns({f"_{k}": v for k, v in box.items()})
     (ia, ja), (ib, jb) = grid.to_ij(F.col("_x0"), F.col("_y0")), grid.to_ij(F.col("_x1"), F.col("_y1"))
 

@@ -236,3 +236,10 @@ def test_tiles_beyond_the_domain_count(spark, tmp_path):
     spark.createDataFrame(rows, "c_custkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
     got = {(r.idom, r.jdom): r.n for r in QUERIES["q_domain_tiles"](spark, str(tmp_path)).collect()}
     assert got == {(-1, 4): 1, (7, 4): 1, (9, 4): 1, (1, 4): 2, (None, 4): 1}
+
+
+def test_polygons_are_dealt_before_their_tiles(spark):
+    one = spark.range(0, 500, 1, 1).select("id", sp.ring_of([(0.1, 0.1), (3.9, 0.2), (2.0, 3.8)]).alias("ring"))
+    grid = gr.Grid(4, 4, (0.0, 1.0, 0.0, 4.0, 0.0, -1.0))
+    for found in (sh.tiles_meeting(one, grid), gr.rasterize(one, grid)):
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 30
