@@ -66,3 +66,17 @@ def test_levels_of_a_long_chain_and_none(files, spark):
     got = {r.node: (r.level, r.newest) for r in lineage.levels(edges, times).collect()}
     assert got == {"0": (0, None), "alone": (0, None), **{str(k): (k, 3) for k in range(1, n + 1)}}
     assert lineage.levels(edges.where("false"), times.where("false")).count() == 0
+
+
+def test_a_round_rewrites_only_nodes_it_counts(files, monkeypatch):
+    n, written, plain = 12, [], lineage.stage
+
+    def counted(df, name):
+        out = plain(df, name)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(lineage, "stage", counted)
+    edges, _, times = files([(str(k + 1), str(k)) for k in range(n)], [("0", 3)], [])
+    assert lineage.levels(edges, times).count() == n + 1
+    assert sum(written) < 6 * n  # not a table of all that wait in every round
