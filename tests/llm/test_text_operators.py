@@ -122,6 +122,36 @@ def test_overlaps_against_all_pairs():
     assert {frozenset(p) for p in zip(*(x.tolist() for x in passages.overlaps(f, l, c, r, 12, some)))} == {p for p in want if any(some[list(p)])}
 
 
+def test_overlaps_beyond_what_spans_hold():
+    """Pairs that a span holds are left out before they are made."""
+    rng = np.random.default_rng(4)
+    for many in (0, 1, 2, 5):
+        l = rng.integers(0, 80, 60)
+        c, f = l + rng.integers(0, 30, 60), rng.integers(0, 3, 60)
+        r = c + rng.integers(0, 30, 60)
+        begin = rng.integers(0, 90, many)
+        spans = begin, begin + rng.integers(5, 60, many)
+        held = lambda lo, hi: any(a <= lo and hi + passages.SHINGLE <= b for a, b in zip(*spans))
+        pairs = zip(*(x.tolist() for x in passages.overlaps(f, l, c, r, 12)))
+        want = {frozenset(p) for p in pairs if not held(min(c[list(p)]), max(c[list(p)]))}
+        got = [frozenset(p) for p in zip(*(x.tolist() for x in passages.overlaps(f, l, c, r, 12, beyond=passages._reach(spans, c))))]
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_heaviest_stretch_over_a_bound():
+    """The same stretch as without a bound where it weighs more, none where it does not."""
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        y, n = rng.integers(0, 12, 40), 40
+        common, before = np.isin(y, rng.integers(0, 12, 7)), np.array([max(np.flatnonzero(y[:k] == y[k]), default=-1) for k in range(n)])
+        begin = np.arange(n) - 9
+        weights = {(i, j): sum(100 if common[np.flatnonzero(y == v)[0]] else -80 for v in set(y[i : j + 1].tolist())) for j in range(n) for i in range(max(0, begin[j] + 1))}
+        top = max(weights.values())
+        weight, i, j = passages._heaviest(common, before, begin, 80, top - 1) if top > 0 else (top, 0, 0)
+        assert weight == top and (top <= 0 or weights[i, j] == top)
+        assert passages._heaviest(common, before, begin, 80, max(top, 0)) == (max(top, 0), 0, 0)
+
+
 def test_repeated_passages(spark):
     rng = random.Random(11)
     common, near = text(rng, 60), text(rng, 80)
