@@ -30,6 +30,8 @@ from .staging import small_batches, stage
 
 #: Bytes of texts of a batch, whose distinct pairs are counted and looked up together.
 AT_ONCE = 1 << 20
+#: A batch's row is some MB: else a writer looks at its size after 100 rows, and a reader takes 4096 at once, but no more than a row group has.
+SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "8"}
 #: Chunks that are encoded in a row.
 IN_ROW = 256
 SPACE_MARK = "▁"
@@ -220,7 +222,7 @@ def align_tokens(docs: DataFrame, path_a: str | None = None, path_b: str | None
     a, b = path_a or default_tokenizer(), path_b or default_pieces()
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    batches = stage(align_batches(docs, a, b), "alignment")
+    batches = stage(align_batches(docs, a, b), "alignment", SMALL_GROUPS)
     asked = batches.select("batch", F.posexplode("pair").alias("pos", "pair"))
     known = asked.join(pair_counts(batches), "pair").select(F.col("batch").alias("of"), "pos", "n", "best")
     held = batches.select("batch", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "links")

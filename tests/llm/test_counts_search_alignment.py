@@ -172,3 +172,21 @@ def test_batches_by_size_keep_rows_in_order():
     out = list(chunks.by_size(iter(given), 40))
     assert [n for b in out for n in b.column(0).to_pylist()] == list(range(9))
     assert all(b.num_rows == 1 or sum(len(t or "") for t in b.column(1).to_pylist()) <= 40 for b in out)
+
+
+def test_staged_alignments_are_in_small_row_groups(spark, monkeypatch):
+    """A reader's batch ends with its row group, so rows of some MB never come by the thousand."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rng, paths, plain = random.Random(3), [], alignment.stage
+    docs = [(d, " ".join(f"w{rng.randrange(10**6)}" for _ in range(2500))) for d in range(48)]
+    monkeypatch.setattr(alignment, "AT_ONCE", 1 << 14)
+    monkeypatch.setitem(alignment.SMALL_GROUPS, "parquet.block.size", str(1 << 19))
+    monkeypatch.setattr(alignment, "stage", lambda *a: paths.append(out := plain(*a)) or out)
+    got = alignment.align_tokens(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1))
+    assert {r.doc_id for r in got.collect() if r.n_links} == set(range(48))
+    groups = [g for f in glob.glob(f"{paths[0]._staged_path.removeprefix('file://')}/*.parquet") for m in [pq.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups))]
+    assert sum(g.num_rows for g in groups) == 48 and max(g.num_rows for g in groups) < 24
+    assert max(g.total_byte_size for g in groups) < 1 << 20
