@@ -16,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .staging import small_batches, stage
-from .tokens import default_tokenizer, encoded
+from .tokens import default_tokenizer, encoded, forget
 from .words import batches_of, slices
 
 #: Parts into which the ranking of one length is split, so that no length meets in one task.
@@ -205,6 +205,7 @@ def _place(plan, window: int):
     schema = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in PIECE.split(", ")])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        forget()
         segments = plan.value
         for batch in slices(batches, 200):
             for doc_id, n, ids, rank, base in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids", "rank", "base"))):
@@ -220,6 +221,12 @@ def _place(plan, window: int):
     return lambda batches: batches_of(rows(batches), schema, 500)
 
 
+def _local(spark: SparkSession, base: list[tuple[int, int]]) -> DataFrame:
+    """(r, first) as a table; by Arrow, as a list of rows would start further Python workers on every executor."""
+    r, first = zip(*base) if base else ((), ())
+    return spark.createDataFrame(pa.table({"r": pa.array(r, pa.int64()), "first": pa.array(first, pa.int64())}))
+
+
 def pack_documents(documents: DataFrame, window: int = 4096, end_id: int = 2, tokenizer: str | None = None) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids, doc_tokens, sequence_id, offset``.
 
@@ -247,7 +254,7 @@ def pack_documents(documents: DataFrame, window: int = 4096, end_id: int = 2, to
     before = Window.partitionBy("r").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     bases = (
         groups.withColumns({"docs_before": F.coalesce(F.sum("docs").over(before), F.lit(0)), "windows_before": F.coalesce(F.sum("windows").over(before), F.lit(0))})
-        .join(F.broadcast(spark.createDataFrame(base, "r long, first long")), "r")
+        .join(F.broadcast(_local(spark, base)), "r")
         .select("r", "salt", "docs_before", (F.col("first") + F.col("windows_before")).alias("windows_before"))
     )
     order = Window.partitionBy("r", "salt").orderBy("uid")

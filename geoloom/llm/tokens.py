@@ -139,6 +139,13 @@ def word_tokens(path: str) -> WordTokens:
     return _loaded[path]
 
 
+def forget() -> None:
+    """Let go of this worker process's tokenizers and their words, when its texts are encoded: an idle worker would keep them."""
+    if _loaded:
+        _loaded.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, at_once: int = 200) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Each batch with the ids of its texts, each with ``end_id`` behind; null texts count as empty."""
     tokens, end = word_tokens(path), int(end_id).to_bytes(4, "little")

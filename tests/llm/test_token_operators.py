@@ -5,11 +5,12 @@ import random
 import struct
 import zlib
 from bisect import bisect_right
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.llm import packing, token_files
+from geoloom.llm import packing, token_files, tokens
 from geoloom.llm.tokens import default_tokenizer, word_tokens
 
 ODD = [
@@ -119,3 +120,14 @@ def test_plan_places_every_token_once(window):
                 at += length
             short += at != window
         assert short <= window.bit_length()
+
+
+def test_packing_leaves_no_words_in_workers(spark):
+    """An idle worker would keep its words, and a list of rows as a table would start further workers."""
+    word_tokens(default_tokenizer())
+    assert list(packing._place(SimpleNamespace(value={}), 16)(iter([]))) == []
+    assert not tokens._loaded
+    rows = packing._local(spark, [(3, 0), (5, 2)])
+    assert sorted(map(tuple, rows.collect())) == [(3, 0), (5, 2)]
+    assert "ExistingRDD" not in rows._jdf.queryExecution().toString()
+    assert packing._local(spark, []).dtypes == [("r", "bigint"), ("first", "bigint")]
