@@ -1,9 +1,9 @@
 """Operator 13: how the tokens of two tokenizers lie over the same text.
 
-Per batch of documents, every token start of either side finds the other side's token that covers it
-(``pandas.merge_asof`` keyed by document); both directions together are all overlaps.  Places where
-tokens of both sides end cut the tokens into groups.  How many documents of the corpus link two ids is
-counted by pair; batches then fetch the counts of their own pairs and sum them per document.
+Per batch of documents, laid end to end, every token start of either side finds the other side's token that
+covers it (``pandas.merge_asof`` by place, which names the document too); both directions together are all
+overlaps.  Places where tokens of both sides end cut the tokens into groups.  How many documents of the corpus
+link two ids is counted by pair; batches then fetch the counts of their own pairs and sum them per document.
 
 Nulls: null and empty texts have no tokens, and neither have texts that one of the sides does not give
 back byte by byte: zeros and an empty groups_sha256.  A null doc_id stays null.  Every row is a document
@@ -78,18 +78,24 @@ class TwoTokenizers:
         end, and those of a row that is not given back, are encoded alone.
         """
         out: list = [None] * len(chunks)
-        inner = [k for k, c in enumerate(chunks) if not open_ended(c)]
-        rows = [inner[i : i + IN_ROW] for i in range(0, len(inner), IN_ROW)] + [[k] for k, c in enumerate(chunks) if open_ended(c)]
+        open_ = [k for k, c in enumerate(chunks) if open_ended(c)]
+        inner = range(len(chunks))
+        if open_:
+            away = set(open_)
+            inner = [k for k in inner if k not in away]
+        rows = [inner[i : i + IN_ROW] for i in range(0, len(inner), IN_ROW)] + [[k] for k in open_]
         while rows:
-            texts = [" ".join([chunks[k] for k in row]) for row in rows]
+            texts = [" ".join(map(chunks.__getitem__, row)) for row in rows]
             a, b = self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1)
             again = []
             for row, text, x, y in zip(rows, texts, a, b):
+                given = b"".join(map(self.bytes_b.__getitem__, y))
                 x, y = np.array(x.ids, "<u4"), np.array(y, "<u4")
-                if b"".join(map(self.bytes_b.__getitem__, y.tolist())) != (" " + text).encode():
+                if given != (" " + text).encode():
                     again += [[k] for k in row] if len(row) > 1 else []
                     continue
-                ends = np.cumsum([len(chunks[k].encode()) + 1 for k in row])
+                spaces = np.flatnonzero(np.frombuffer(given, np.uint8) == 32)  # in front of each chunk, and within some
+                ends = np.append(spaces[1:], len(given)) if len(spaces) == len(row) else np.cumsum([len(chunks[k].encode()) + 1 for k in row])
                 cuts = [[0, *(4 * np.searchsorted(np.cumsum(sizes[ids]), ends) + 4).tolist()] for ids, sizes in ((x, self.size_a), (y, self.size_b))]
                 x, y = x.tobytes(), y.tobytes()
                 for k, p, q, r, s in zip(row, cuts[0], cuts[0][1:], cuts[1], cuts[1][1:]):
@@ -124,32 +130,36 @@ def _frame(ids: list[np.ndarray], sizes: np.ndarray) -> pd.DataFrame:
 
 def overlaps(a: pd.DataFrame, b: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of the tokens of all pairs whose bytes overlap, by token of A, then of B."""
-    keys = ["doc", "at", "token"]
-    one = pd.merge_asof(a[keys], b[keys], on="at", by="doc", suffixes=("_a", "_b"))
-    two = pd.merge_asof(b[keys], a[keys].assign(start=a["at"]), on="at", by="doc", suffixes=("_b", "_a"))
+    keys = ["at", "token"]
+    # documents lie end to end and both sides of one have the same bytes, so a place names its document as well
+    one = pd.merge_asof(a[keys], b[keys], on="at", suffixes=("_a", "_b"))
+    two = pd.merge_asof(b[keys], a[keys].assign(start=a["at"]), on="at", suffixes=("_b", "_a"))
     two = two[two["at"] != two["start"]]  # those with a common start are in the other list
     x, y = (np.concatenate([one[c].to_numpy(np.int64), two[c].to_numpy(np.int64)]) for c in ("token_a", "token_b"))
-    order = np.lexsort((y, x))
+    order = np.argsort(x, kind="stable")  # two sorted lists; a token's first in B is from the first of them
     return x[order], y[order]
 
 
 def _groups(a: pd.DataFrame, b: pd.DataFrame, n: int, text: list[str]) -> tuple[np.ndarray, list[str]]:
     """Per document the number of groups, and the digest of its groups' ids."""
-    ends = np.intersect1d(a["end"].to_numpy(), b["end"].to_numpy(), assume_unique=True)
-    group = np.concatenate([np.searchsorted(ends, f["end"].to_numpy()) for f in (a, b)])
-    side = np.repeat([0, 1], [len(a), len(b)])
-    doc = np.concatenate([a["doc"].to_numpy(), b["doc"].to_numpy()])
-    order = np.lexsort((side, group))  # stable: tokens of a side stay in order
-    group, side, doc = group[order], side[order], doc[order]
-    ids = np.concatenate([a["id"].to_numpy(), b["id"].to_numpy()])[order]
-    last = np.append(doc[1:] != doc[:-1], True) if len(doc) else np.empty(0, bool)
-    new, other = (np.append(x[1:] != x[:-1], True) if len(x) else np.empty(0, bool) for x in (group, side))
-    mark = np.where(last, 3, np.where(new, 2, np.where(other, 1, 0)))
-    words = list(map(text.__getitem__, (4 * ids + mark).tolist()))
-    cuts = np.searchsorted(doc, np.arange(n + 1)).tolist()
+    (end_a, doc_a, id_a), (end_b, doc_b, id_b) = ([f[c].to_numpy() for c in ("end", "doc", "id")] for f in (a, b))
+    if not len(end_a):
+        return np.zeros(n, np.int64), [""] * n
+    # where both sides have an end; documents lie end to end, so the last token of one has such an end
+    place = np.minimum(np.searchsorted(end_b, end_a), len(end_b) - 1)
+    last_a = end_b[place] == end_a
+    last_b = np.zeros(len(end_b), bool)
+    last_b[place[last_a]] = True
+    group_a, group_b = (np.cumsum(last) - last for last in (last_a, last_b))
+    # a group's tokens of A stand behind those of B of all groups before, and its tokens of B behind its own of A
+    upto_a, upto_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+    ids = np.empty(len(end_a) + len(end_b), np.int64)
+    ids[np.arange(len(end_a)) + np.append(0, upto_b)[group_a]] = 4 * id_a + last_a
+    ids[np.arange(len(end_b)) + upto_a[group_b]] = 4 * id_b + np.where(last_b, np.where(np.append(doc_b[1:] != doc_b[:-1], True), 3, 2), 0)
+    words = list(map(text.__getitem__, ids.tolist()))
+    cuts = np.append(0, np.cumsum(np.bincount(doc_a, minlength=n) + np.bincount(doc_b, minlength=n))).tolist()
     digests = [hashlib.sha256("".join(words[p:q]).encode()).hexdigest() if q > p else "" for p, q in zip(cuts, cuts[1:])]
-    first = np.flatnonzero(new)
-    return np.bincount(doc[first], minlength=n), digests
+    return np.bincount(doc_a[last_a], minlength=n), digests
 
 
 _STAGED = (
@@ -171,7 +181,8 @@ def align_batches(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
             x, y = overlaps(a, b)
             doc = a["doc"].to_numpy()[x]
             pair, place = np.unique(a["id"].to_numpy()[x] << 32 | b["id"].to_numpy()[y], return_inverse=True)
-            held = np.unique(doc * max(len(pair), 1) + place) % max(len(pair), 1)
+            held = np.sort(doc * max(len(pair), 1) + place)
+            held = held[np.append(True, held[1:] != held[:-1])[: len(held)]] % max(len(pair), 1)
             groups, digests = _groups(a, b, n, both.text)
             columns = [
                 batch.column(0).to_pylist(), np.bincount(a["doc"], minlength=n), np.bincount(b["doc"], minlength=n), groups, np.bincount(doc, minlength=n), digests,

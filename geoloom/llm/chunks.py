@@ -25,7 +25,7 @@ def cut(text: str) -> list[str]:
 def open_ended(chunk: str) -> bool:
     """Whether a chunk has white space at an end, as only the first and the last of a text can: what it is
     cut into depends on the neighbour that it would get in a row of chunks."""
-    return not chunk or chunk[0].isspace() or chunk[-1].isspace()
+    return not chunk or chunk.strip() != chunk
 
 
 class Remembered:

@@ -190,3 +190,23 @@ def test_staged_alignments_are_in_small_row_groups(spark, monkeypatch):
     groups = [g for f in glob.glob(f"{paths[0]._staged_path.removeprefix('file://')}/*.parquet") for m in [pq.ParquetFile(f).metadata] for g in map(m.row_group, range(m.num_row_groups))]
     assert sum(g.num_rows for g in groups) == 48 and max(g.num_rows for g in groups) < 24
     assert max(g.total_byte_size for g in groups) < 1 << 20
+
+
+def test_places_alone_say_what_overlaps():
+    """Documents lie end to end, so neither side is dealt by document; one has no tokens, one of each side is a single token."""
+    rng = random.Random(4)
+    ends = lambda n, k: sorted(rng.sample(range(1, n), k)) + [n] if n else []
+    sizes = [np.diff([0, *e]) for e in (ends(40, 17), [], ends(9, 0), ends(300, 80), ends(1, 0))], [np.diff([0, *e]) for e in (ends(40, 11), [], ends(9, 5), ends(300, 120), ends(1, 0))]
+    frames = [alignment._frame([s.astype(np.int64) for s in side], np.arange(400)) for side in sizes]
+    a, b = frames
+    x, y = alignment.overlaps(*(f[["id", "at", "end", "token"]] for f in frames))
+    want = [(i, j) for i, (p, q) in enumerate(zip(a["at"], a["end"])) for j, (r, s) in enumerate(zip(b["at"], b["end"])) if p < s and r < q]
+    assert list(zip(x.tolist(), y.tolist())) == want
+    groups, digests = alignment._groups(a, b, 5, [f"{i}{mark}" for i in range(400) for mark in (",", "|", ";", "")])
+    for d in range(5):
+        of = [f[f["doc"] == d] for f in frames]
+        both = sorted({*of[0]["end"]} & {*of[1]["end"]})
+        part = lambda f, lo, hi: ",".join(map(str, f["id"][(f["end"] > lo) & (f["end"] <= hi)]))
+        lows = [0 if not len(both) else int(of[0]["at"].min()), *both]
+        text = ";".join(part(of[0], lo, hi) + "|" + part(of[1], lo, hi) for lo, hi in zip(lows, both))
+        assert groups[d] == len(both) and digests[d] == (hashlib.sha256(text.encode()).hexdigest() if text else "")
