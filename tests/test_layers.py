@@ -276,3 +276,22 @@ def test_points_on_edges_by_the_ray_and_from_an_origin(spark):
         return sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for a, b in edges) % 2 == 1
 
     assert got == {(k, n) for k, ox in enumerate((0.0, 1.1, 8123.47)) for n, (x, y) in enumerate(local) if odd(ox + x - ox, y)}
+
+
+def test_whole_blocks_of_points_by_the_ray(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(polygons, "AT_ONCE", 50)
+    ring = lambda n, r: [(float(r * np.cos(k * 2 * np.pi / n)), float(r * np.sin(k * 2 * np.pi / n))) for k in range(n)]
+    shapes = [[ring(4, 6.0), ring(5, 2.0)], [ring(7, 3.0)], [[(-4.0, -4.0), (-4.0, 4.0), (4.0, 4.0), (4.0, -4.0)]]]
+    origins = rng.integers(-9, 9, (12, 2)).astype(float).tolist()
+    layer = spark.createDataFrame([(k, x, y, shapes[k % 3]) for k, (x, y) in enumerate(origins)], f"id int, ox double, oy double, parts array<{RING}>")
+    places = [*rng.uniform(-14, 14, (150, 2)).tolist(), *rng.integers(-9, 9, (60, 2)).astype(float).tolist()]
+    points = spark.createDataFrame([*enumerate(list(map(float, p)) for p in places)], "n int, p array<double>").select("n", F.col("p")[0].alias("x"), F.col("p")[1].alias("y"))
+    points = points.unionByName(spark.createDataFrame([(900, None, 1.0), (901, float("nan"), 1.0), (902, 1.0, float("nan"))], points.schema))
+    found = polygons.points_in_parts(points, layer, 5.0, outer="nesting", origin=("ox", "oy"), border=False, keep=["n", "id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "_polygon" not in plan  # before: a row per point and box, and a join of each with its rings
+    every = points.where("n < 900").crossJoin(polygons.exploded(layer, outer="nesting"))
+    want = every.where(polygons.in_polygon_by_ray(F.col("x") - F.col("ox"), F.col("y") - F.col("oy"), F.col("polygon"))).select("n", "id")
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 200
